@@ -45,8 +45,11 @@ WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 POWERS = np.cumprod(np.full(1024, GOLDEN))
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (a run of ASCII letters and digits and of other bytes above 127) and its row."""
+def word_hashes(data: np.ndarray, off: np.ndarray, long: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (a run of ASCII letters and digits and of other bytes above 127) and its row.
+
+    With ``long``, the lowest bit of a hash says whether the word has that many bytes.
+    """
     is_word = WORD[data]
     first = is_word.copy()
     first[1:] &= ~is_word[:-1]
@@ -60,7 +63,10 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     length = np.diff(np.append(at, len(place)))
     power = POWERS[(np.arange(len(place)) - np.repeat(at, length)) & 1023]
     h = np.add.reduceat((data[place].astype(np.uint64) + np.uint64(1)) * power, at)
-    return mix64(h ^ (length.astype(np.uint64) * GOLDEN)), np.searchsorted(off, start, "right") - 1
+    h = mix64(h ^ (length.astype(np.uint64) * GOLDEN))
+    if long:
+        h = (h & ~np.uint64(1)) | (length >= long).astype(np.uint64)
+    return h, np.searchsorted(off, start, "right") - 1
 
 
 # LANES[b] holds the eight bits of b in eight lanes of eight bits, the highest bit in the lowest lane.

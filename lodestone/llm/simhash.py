@@ -1,13 +1,17 @@
 """Near-duplicate documents by SimHash and deletion-variant signatures.
 
-The signature of SEGMENTS * WIDTH bits is the sign of the sum of word hashes, each occurrence of a word counted. It is cut
-into SEGMENTS segments. Two signatures that differ in at most 2 * SEGMENTS - 1 bits have a segment that differs by one bit
-at most, so they share that segment with one bit taken out. Every segment is indexed under its WIDTH one-wildcard variants
-(and once whole), an equality join on the variant finds the pairs, and a second signature of CHECK_BITS bits over distinct
-words verifies them: a pair is near if it differs by at most MAX_DISTANCE of those. A variant is posted on the left if the
-bit taken out is 0 and on the right if it is 1, so a pair that differs in that bit meets once for each segment and pairs
-that agree meet only under the whole segment. Pairs further apart than the guarantee are still found with a probability
-that falls with the distance; measured recall is in the README.
+The index signature of SEGMENTS * WIDTH bits is the sign of the sum of the hashes of a document's distinct words of LONG_WORD
+bytes or more (short ones are common to a language, and would make all its documents alike). It is cut into SEGMENTS
+segments. Two signatures that differ in at most 2 * SEGMENTS - 1 bits have a segment that differs by one bit at most, so they
+share that segment with one bit taken out. Every segment is indexed under its WIDTH one-wildcard variants (and once
+whole), equal variants meet, and a second signature of 64 * CHECK_WORDS bits, over all distinct words, verifies the pairs: a pair is
+near if it differs by at most MAX_DISTANCE of those. Pairs further apart than the guarantee are still found with a
+probability that falls with the distance; measured recall is in the README.
+
+Only groups matter, so pairs that are in one group already needn't meet. First, documents with a whole segment in common are
+compared with the first of them, which settles most large groups with a linear number of pairs. Then all variants are
+sorted together with the group so far, and only pairs of different groups leave a variant: none is left out, and a
+variant that a thousand copies share costs no more than they do.
 """
 
 from __future__ import annotations
@@ -21,38 +25,40 @@ from pyspark.sql.window import Window
 from .common import checkpoint, col, fresh, join_small
 from .kernels import bit_sums, mix64, safe_cuts, spans, utf8, word_hashes
 
-SEGMENTS, WIDTH, CHECK_WORDS, MAX_DISTANCE = 7, 28, 4, 44
+SEGMENTS, WIDTH, LONG_WORD, CHECK_WORDS, MAX_DISTANCE = 12, 28, 5, 4, 56
 INDEX_WORDS = (SEGMENTS * WIDTH + 63) // 64
 SEGS, CHECKS = [f"s{k}" for k in range(SEGMENTS)], [f"v{k}" for k in range(CHECK_WORDS)]
+WHOLE = 31
+PAIR_ROWS = 1 << 20
 
 
 def signatures(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments, verification words and whether there is any word, for each row."""
     n = len(off) - 1
-    heavy, light = np.zeros((n, 64 * INDEX_WORDS), np.int64), np.zeros((n, 64 * CHECK_WORDS), np.int64)
+    index, check = np.zeros((n, 64 * INDEX_WORDS), np.int64), np.zeros((n, 64 * CHECK_WORDS), np.int64)
     count, distinct = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i, j in spans(off):
         lo, hi = off[i], off[j]
         if j == i + 1 and hi - lo > 2 << 20:
-            cuts, own, rest = safe_cuts(data[lo:hi]), [], 0
+            cuts, h = safe_cuts(data[lo:hi]), np.zeros(0, np.uint64)
             for a, b in zip(cuts, cuts[1:]):
-                h, _ = word_hashes(data[lo + a : lo + b], np.array([0, b - a]))
-                heavy[i] += bit_sums(h, np.zeros(len(h), np.int64), 1, INDEX_WORDS, 0)[0]
-                rest += len(h)
-                own = [np.unique(np.concatenate([*own, h]))]
-            h, row, count[i] = own[0], np.zeros(len(own[0]), np.int64), rest
+                h = np.unique(np.concatenate([h, word_hashes(data[lo + a : lo + b], np.array([0, b - a]), LONG_WORD)[0]]))
+            row = np.zeros(len(h), np.int64)
         else:
-            h, row = word_hashes(data[lo:hi], off[i : j + 1] - lo)
-            heavy[i:j] = bit_sums(h, row, j - i, INDEX_WORDS, 0)
-            count[i:j] = np.bincount(row, minlength=j - i)
+            h, row = word_hashes(data[lo:hi], off[i : j + 1] - lo, LONG_WORD)
             _, at = np.unique(mix64(h + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
             at.sort()
             h, row = h[at], row[at]
-        light[i:j] = bit_sums(h, row, j - i, CHECK_WORDS, INDEX_WORDS)
+        check[i:j] = bit_sums(h, row, j - i, CHECK_WORDS, INDEX_WORDS)
         distinct[i:j] = np.bincount(row, minlength=j - i)
-    bits = (2 * heavy > count[:, None])[:, : SEGMENTS * WIDTH].reshape(n, SEGMENTS, WIDTH)
+        long = (h & np.uint64(1)) == 1
+        # A document without a long word is known by its short ones.
+        use = long | (np.bincount(row[long], minlength=j - i) == 0)[row]
+        index[i:j] = bit_sums(h[use], row[use], j - i, INDEX_WORDS, 0)
+        count[i:j] = np.bincount(row[use], minlength=j - i)
+    bits = (2 * index > count[:, None])[:, : SEGMENTS * WIDTH].reshape(n, SEGMENTS, WIDTH)
     segs = bits @ (np.int64(1) << np.arange(WIDTH, dtype=np.int64))
-    checks = np.packbits(2 * light > distinct[:, None], axis=1).view(">i8").astype(np.int64)
+    checks = np.packbits(2 * check > distinct[:, None], axis=1).view(">i8").astype(np.int64)
     return segs, checks, count > 0
 
 
@@ -63,36 +69,93 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *SEGS, *CHECKS]).filter(pa.array(ok))
 
 
-def _post(side: int):
-    """Posts of one side: the whole segments, and the variants whose missing bit is ``side``."""
+def _post(whole: bool):
+    """Posts (k, side, id, grp): under each whole segment, or under that and each variant, whose missing bit is ``side``."""
 
     def post(batches):
-        for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                batch = whole.slice(a, 2000)
-                ids, keys = batch.column(0).to_numpy(zero_copy_only=False), []
-                owners = []
+        for all_rows in batches:
+            for a in range(0, all_rows.num_rows, 2000):
+                batch = all_rows.slice(a, 2000)
+                ids, groups = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+                keys, sides = [], []
                 for s in range(SEGMENTS):
-                    seg = batch.column(1 + s).to_numpy(zero_copy_only=False)
-                    keys.append(np.int64((s * 32 + 31) << WIDTH) | seg)
-                    owners.append(ids)
-                    for j in range(WIDTH):
-                        on = (seg >> j & 1) == side
-                        keys.append(np.int64((s * 32 + j) << WIDTH) | (seg[on] & ~np.int64(1 << j)))
-                        owners.append(ids[on])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["k", "id"])
+                    seg = batch.column(2 + s).to_numpy(zero_copy_only=False)
+                    keys.append(np.int64((s * 32 + WHOLE) << WIDTH) | seg)
+                    sides.append(np.zeros(len(seg), np.int8))
+                    for j in range(0 if whole else WIDTH):
+                        keys.append(np.int64((s * 32 + j) << WIDTH) | (seg & ~np.int64(1 << j)))
+                        sides.append((seg >> j & 1).astype(np.int8))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(sides)), pa.array(np.tile(ids, len(keys))), pa.array(np.tile(groups, len(keys)))],
+                    names=["k", "side", "id", "grp"],
+                )
 
     return post
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of representatives that share a one-wildcard variant or a whole segment."""
-    posts = reps.select("doc_id", *SEGS)
-    left = posts.mapInArrow(_post(0), "k long, id long").select("k", F.col("id").alias("a"))
-    right = posts.mapInArrow(_post(1), "k long, id long").select("k", F.col("id").alias("b"))
-    whole = F.shiftright("k", WIDTH).bitwiseAND(F.lit(31)) == 31
-    pairs = left.join(right.hint("merge"), "k").where(~whole | (F.col("a") < F.col("b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def buckets(batches):
+    """Arrays (k, side, id, grp) of rows sorted by k, such that no k is in two of them."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        cut = int(np.searchsorted(now[0], now[0][-1], "left"))
+        if cut:
+            yield [c[:cut] for c in now]
+        held = [c[cut:] for c in now]
+    if held is not None:
+        yield held
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+
+def _first_pairs(batches):
+    """Each row with the first of its bucket."""
+    for k, _, ids, _ in buckets(batches):
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        first = ids[np.repeat(start, np.diff(np.append(start, len(k))))]
+        if (other := first != ids).any():
+            yield _pairs(first[other], ids[other])
+
+
+def _cross_pairs(batches):
+    """The pairs of rows of one bucket and different groups that differ in the bit taken out, or of a whole segment."""
+    for k, side, ids, grp in buckets(batches):
+        n = len(k)
+        new = np.append(True, k[1:] != k[:-1])
+        run = np.flatnonzero(new | np.append(True, grp[1:] != grp[:-1]))
+        start = np.flatnonzero(new)
+        run_end = np.repeat(np.append(run[1:], n), np.diff(np.append(run, n)))
+        bucket_end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
+        # Rows of a bucket are sorted by group: a row meets all that follow its own group.
+        count = bucket_end - run_end
+        at = np.flatnonzero(count)
+        ends = np.cumsum(count[at])
+        a = 0
+        while a < len(at):
+            done = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + PAIR_ROWS, "right")))
+            own, c = at[a:b], count[at[a:b]]
+            left = np.repeat(own, c)
+            right = np.repeat(run_end[own] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            ok = (side[left] != side[right]) | ((k[left] >> WIDTH & 31) == WHOLE)
+            if ok.any():
+                yield _pairs(ids[left[ok]], ids[right[ok]])
+            a = b
+
+
+def candidate_pairs(reps: DataFrame, whole: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of (doc_id, grp, segments) of different groups that share a variant; with ``whole``, of each
+    row and the first with which it shares a whole segment."""
+    posts = reps.select("doc_id", "grp", *SEGS).mapInArrow(_post(whole), "k long, side byte, id long, grp long")
+    ordered = posts.repartition("k").sortWithinPartitions("k", "grp", "id")
+    return ordered.mapInArrow(_first_pairs if whole else _cross_pairs, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, reps: DataFrame, max_distance: int) -> DataFrame:
@@ -136,9 +199,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = Window.partitionBy(*SEGS, *CHECKS)
     signed = checkpoint(signed.withColumn("rep", F.min("doc_id").over(same)))
     reps = signed.where("doc_id = rep").drop("rep").distinct()
-    near = verified(candidate_pairs(reps), reps, max_distance).select("a", "b")
+    settled = checkpoint(verified(candidate_pairs(reps.withColumn("grp", F.col("doc_id")), whole=True), reps, max_distance).select("a", "b"))
+    grouped = reps.join(components(settled), F.col("doc_id") == F.col("node"), "left").withColumn("grp", F.coalesce("root", "doc_id"))
+    near = verified(candidate_pairs(grouped), reps, max_distance).select("a", "b")
     equal = signed.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    roots = components(near.union(equal))
+    roots = components(near.union(settled).union(equal))
     ids = docs.select(col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     joined = ids.join(roots, F.col("doc_id") == F.col("node"), "left")
     return joined.select("doc_id", F.coalesce("root", "doc_id").alias("group_id")).withColumn("keep", F.col("doc_id") == F.col("group_id"))
