@@ -78,13 +78,12 @@ def ordered_sums(df: DataFrame, order: list[str], value: str, out: str, group: s
     within = Window.partitionBy(*keys).orderBy(*[c for c in order if c != group])
     before = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(part)
     totals = ranged.groupBy(*keys).agg(F.sum(value).alias(base))
-    # One row for each partition (and each group within it): the driver's share, however many rows there are.
+    # A row for each partition and group in it: as groups are ranges too, no more than there are of both together.
     bases = totals.withColumn(base, F.sum(base).over(before) - F.col(base))
+    g2, p2 = fresh(ranged, "group2", "part2")
+    bases = checkpoint(bases.select(F.col(part).alias(p2), base, *([F.col(group).alias(g2)] if group else [])))
+    on = F.col(part) == F.col(p2)
     if group:
-        g2, p2 = fresh(df, "group2", "part2")
-        bases = bases.select(F.col(group).alias(g2), F.col(part).alias(p2), base)
-        on = (F.col(part) == F.col(p2)) & F.col(group).eqNullSafe(F.col(g2))
-        joined = ranged.withColumn(out, F.sum(value).over(within)).join(F.broadcast(bases), on, "left").drop(g2, p2)
-    else:
-        joined = ranged.withColumn(out, F.sum(value).over(within)).join(F.broadcast(bases), part, "left")
-    return joined.withColumn(out, F.col(out) + F.col(base)).drop(base, part)
+        on = on & F.col(group).eqNullSafe(F.col(g2))
+    joined = join_small(ranged.withColumn(out, F.sum(value).over(within)), bases, on, "left")
+    return joined.withColumn(out, F.col(out) + F.col(base)).drop(base, part, p2, g2)
