@@ -30,6 +30,11 @@ def replaced(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by))
 
 
+def bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """function(value), value being computed once: what a lambda refers to from outside would be computed for each element."""
+    return F.get(F.transform(F.array(value), function), 0)
+
+
 def strip(text: Column) -> Column:
     """str.strip()."""
     return replaced(text, f"^[{WS}]+|[{WS}]+$", "")

@@ -32,10 +32,12 @@ def text_hash(text: Column) -> Column:
 
 def shingles(text: Column, k: int = SHINGLE_WORDS) -> Column:
     """The distinct runs of k words of the normal form; the whole form if it has fewer words."""
-    form = normal_form(text)
-    w = T.words(form)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) < k, F.array(form)).otherwise(F.array_distinct(runs))
+    def runs(w: Column) -> Column:
+        joined = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(joined))
+
+    # A normal form is its words between blanks.
+    return T.bound(T.words(F.lower(text)), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
