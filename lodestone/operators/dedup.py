@@ -15,9 +15,14 @@ SHINGLE_WORDS = 5
 
 
 def deduplicate(df: DataFrame, text_col: str = "text", order_col: str = "doc_id") -> DataFrame:
-    """The first row, by order_col, of each distinct text. Null is a text like others."""
-    firsts = df.groupBy(F.xxhash64(text_col).alias("__h"), F.col(text_col).alias("__t")).agg(F.min(order_col).alias("__first"))
-    return df.join(firsts.select("__t", "__first"), F.col(text_col).eqNullSafe(F.col("__t")) & (F.col(order_col) == F.col("__first")), "left_semi")
+    """The first row, by order_col, of each distinct text. Null is a text like others.
+
+    The first shuffle has digests and order_col only, combined before it; whole rows move once, to meet the firsts.
+    """
+    hashed = df.withColumn("__d", F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit("")))
+    firsts = hashed.groupBy("__d").agg(F.min(order_col).alias("__first"))
+    on = (hashed["__d"] == firsts["__d"]) & (F.col(order_col) == F.col("__first"))
+    return hashed.join(firsts, on, "left_semi").drop("__d")
 
 
 def normal_form(text: Column) -> Column:
