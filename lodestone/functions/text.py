@@ -90,7 +90,8 @@ def strip_accents(text: Column) -> Column:
     return only_where(non_ascii(text), arrow_text(bare), text)
 
 
-_MOJIBAKE = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2020\u2021\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]")
+_TAIL = "[\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2020\u2021\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]"
+_MOJIBAKE = re.compile(f"(?:[\u00c2-\u00df]{_TAIL}|[\u00e0-\u00ef]{_TAIL}{{2}}|[\u00f0-\u00f4]{_TAIL}{{3}})+")
 _QUOTES = str.maketrans({**dict.fromkeys("\u02bc\u2018\u2019\u201a\u201b", "'"), **dict.fromkeys("\u201c\u201d\u201e\u201f", '"')})
 _LIGATURES = str.maketrans({"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"})
 _LINES = re.compile("\r\n|[\r\u0085\u2028\u2029]")
@@ -106,6 +107,13 @@ def _byte(c: str) -> bytes:
         return c.encode("latin-1")
 
 
+def _reread(m: re.Match) -> str:
+    try:
+        return b"".join(map(_byte, m[0])).decode("utf-8")
+    except UnicodeError:
+        return m[0]
+
+
 def repair_encoding(t: str) -> str:
     """ftfy.fix_text, if that is installed; otherwise its documented main steps.
 
@@ -121,12 +129,7 @@ def repair_encoding(t: str) -> str:
     if "&" in t and "<" not in t:
         t = html.unescape(t)
     for _ in range(3):
-        if not _MOJIBAKE.search(t):
-            break
-        try:
-            better = b"".join(map(_byte, t)).decode("utf-8")
-        except UnicodeError:
-            break
+        better = _MOJIBAKE.sub(_reread, t)
         if better == t:
             break
         t = better
