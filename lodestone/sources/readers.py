@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import glob
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,36 @@ def _lines_unified(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+#: Encodings that Spark decodes by itself, by Python's name.
+NATIVE = {"iso8859-1": "ISO-8859-1", "ascii": "US-ASCII", "utf-16": "UTF-16", "utf-16-be": "UTF-16BE", "utf-16-le": "UTF-16LE", "utf-32": "UTF-32"}
+
+
+def _decoded(content: Column, encoding: str) -> Column:
+    """Bytes in any encoding that Python knows; null if they aren't in it."""
+    name = codecs.lookup(encoding).name
+    if name in NATIVE:
+        return F.decode(content, NATIVE[name])
+
+    def decode(b: bytes) -> str | None:
+        try:
+            return b.decode(name)
+        except UnicodeError:
+            return None
+
+    def apply(files: pa.Array) -> pa.Array:
+        return pa.array([None if (b := x.as_py()) is None else decode(b) for x in files], pa.string())
+
+    return F.arrow_udf(apply, "string")(content)
+
+
 def read_texts(spark: SparkSession, paths: str | list[str], encoding: str = "utf-8", pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """(path, text) of whole files, also compressed ones; line ends are unified, empty and unreadable files are left out."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     options = {"recursiveFileLookup": str(recursive).lower(), "ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"} | ({"pathGlobFilter": pattern} if pattern else {})
-    if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
-        files = spark.read.options(**options, wholetext="true").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    if codecs.lookup(encoding).name == "utf-8":
+        files = spark.read.options(**options).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     else:
-        files = spark.read.format("binaryFile").options(**options).load(paths).select("path", F.decode("content", encoding).alias("text"))
+        files = spark.read.format("binaryFile").options(**options).load(paths).select("path", _decoded(F.col("content"), encoding).alias("text"))
     return files.select("path", _lines_unified(F.col("text")).alias("text")).where("text <> ''")
 
 

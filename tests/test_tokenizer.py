@@ -118,7 +118,7 @@ def test_comparison(docs, model):
     b = c.benchmark(docs, ["compression", "speed", "coverage"])
     assert set(b["large"]) == {"compression_ratio", "encoding_time", "vocab_utilization"} and b["large"]["encoding_time"] > 0
     assert analyze.benchmark_encoding(docs, model)["texts_per_second"] > 0
-    assert analyze.benchmark_training(docs, TokenizerConfig(vocab_size=100))["vocab_size"] == 100 or True
+    assert analyze.benchmark_training(docs, TokenizerConfig(vocab_size=100))["vocab_size"] >= 100
 
 
 def test_batches(docs):
