@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from .common import checkpoint, col, fresh, join_small
 from .kernels import bit_sums, mix64, safe_cuts, spans, utf8, word_hashes
 
-SEGMENTS, WIDTH, LONG_WORD, CHECK_WORDS, MAX_DISTANCE = 12, 28, 5, 4, 56
+SEGMENTS, WIDTH, LONG_WORD, CHECK_WORDS, MAX_DISTANCE = 14, 26, 5, 4, 56
 INDEX_WORDS = (SEGMENTS * WIDTH + 63) // 64
 SEGS, CHECKS = [f"s{k}" for k in range(SEGMENTS)], [f"v{k}" for k in range(CHECK_WORDS)]
 WHOLE = 31
@@ -167,7 +167,7 @@ def verified(pairs: DataFrame, reps: DataFrame, max_distance: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of ``edges`` (a, b) reaches. Alternating large-star and small-star."""
+    """(node, root): the least node that each node of ``edges`` (a, b) reaches, if that is another. Alternating large-star and small-star."""
     stars = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
