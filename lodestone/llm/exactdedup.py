@@ -84,8 +84,10 @@ def drop_exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "do
     single = join_small(rows, touched.select(d), d, "left_anti", 96).drop(d)
     twice = join_small(rows, touched.where(~F.col(n)).select(d), d, "left_semi", 96)
     order = F.struct(col(id_col).isNull(), col(id_col), F.xxhash64(*[col(c) for c in docs.columns]))
-    best = twice.groupBy(d).agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), order).alias(rank))
-    return single.unionByName(best.select(*[F.col(rank)["`" + c.replace("`", "``") + "`" if "." in c else c].alias(c) for c in docs.columns]))
+    # Fields go by number: a column's name may have dots.
+    whole = F.struct(*[col(c).alias(f"f{k}") for k, c in enumerate(docs.columns)])
+    best = twice.groupBy(d).agg(F.min_by(whole, order).alias(rank))
+    return single.unionByName(best.select(*[F.col(rank)[f"f{k}"].alias(c) for k, c in enumerate(docs.columns)]))
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:
