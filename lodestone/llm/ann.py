@@ -1,9 +1,10 @@
-"""Approximate nearest neighbours by inner product, with score-aware quantisation.
+"""Nearest neighbours by inner product, with score-aware quantisation.
 
 Vectors fall into cells of a k-means. What remains of a vector after its cell's centre is quantised in SUB-dimensional pieces
 of 16 codewords each. Codewords are trained and chosen to minimise the anisotropic loss: the part of the residual error
 that is parallel to the vector, which is what changes large inner products, weighs ``eta`` times the rest. A scan sums, for
-each code, entries of the query's four-bit tables (two at a time, as a byte); the best RERANK of a group of cells are scored exactly.
+each code, entries of the query's four-bit tables (two at a time, as a byte). The best RERANK of a group of cells are scored exactly, and
+then every vector whose rough score plus |q| times its own quantisation error reaches the k-th of those: none is left out but by bound.
 
 Every row is a query. It is first searched in its own cell, which gives it a bar: its k-th best score so far. Then it goes to
 every cell that could hold a better one, since <q, x> <= <q, centre> + |q| * radius, and to no other, so that cells are left
@@ -24,7 +25,7 @@ from .common import checkpoint, col
 
 #: The bound of the training sample, and the settings of the search.
 TRAIN_ROWS = 20_000
-K, RERANK, SUB, THRESHOLD, GROUP_ROWS, QUERY_ROWS, QUERY_BLOCK = 10, 128, 2, 0.2, 8192, 65_536, 256
+K, RERANK, SUB, THRESHOLD, GROUP_ROWS, QUERY_ROWS, QUERY_BLOCK, PAIRS = 10, 128, 2, 0.2, 8192, 65_536, 256, 1 << 16
 RESULT = "q long, x long, score double"
 
 
@@ -111,15 +112,48 @@ def scan(q: np.ndarray, joined: np.ndarray, book: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of(q: np.ndarray, q_id: np.ndarray, bar: np.ndarray, rough: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int):
-    """Each query's k best by exact score among the RERANK roughly best, not itself and not under its bar: (query row, id, score)."""
+def missing(x: np.ndarray, cell: np.ndarray, centres: np.ndarray, codes: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """For each vector, what times |q| bounds the difference of its rough score and <q, x>: the norm of its quantisation error, and rounding."""
+    coded = book[np.arange(book.shape[0])[None, :], codes]
+    error = _pieces(x - centres[cell]) - coded
+    norm = lambda a: np.sqrt((a * a).sum(tuple(range(1, a.ndim))))
+    return norm(error) + (book.shape[0] + 8) * 2.0**-23 * (norm(coded) + norm(centres[cell]) + norm(x))
+
+
+def pair_scores(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """The inner product of each pair of rows, the same whatever pairs it is with, so that copies tie."""
+    out = np.empty(len(row))
+    for a in range(0, len(row), PAIRS):
+        out[a : a + PAIRS] = np.einsum("pd,pd->p", q[row[a : a + PAIRS]], x[col[a : a + PAIRS]])
+    return out
+
+
+def best_of(q: np.ndarray, q_id: np.ndarray, bar: np.ndarray, rough: np.ndarray, miss: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int):
+    """Each query's k best by exact score, not itself and not under its bar: (query row, id, score). Where rough is -inf is left out.
+
+    The RERANK roughly best give each query its k-th score so far; all whose rough score plus its bound reaches that are
+    scored. ``miss`` is that of :func:`missing`.
+    """
+    length = np.sqrt((q * q).sum(1))
+    usable = ~np.isneginf(rough) & (x_id != q_id[:, None])
     top = np.argpartition(-rough, RERANK - 1, axis=1)[:, :RERANK] if len(x) > RERANK else np.broadcast_to(np.arange(len(x)), rough.shape)
-    exact = np.einsum("qd,qrd->qr", q, x[top])
-    exact = np.where(x_id[top] == q_id[:, None], -np.inf, exact)
-    order = np.lexsort((x_id[top], -exact), axis=1)[:, :k]
-    best = np.take_along_axis(exact, order, 1)
-    r, c = np.nonzero((best > -np.inf) & (best >= bar[:, None]))
-    return r, x_id[np.take_along_axis(top, order, 1)[r, c]], best[r, c]
+    first = np.where(np.take_along_axis(usable, top, 1), np.einsum("qd,qrd->qr", q, x[top]), -np.inf)
+    floor = np.maximum(bar, np.partition(first, -k, axis=1)[:, -k]) if first.shape[1] >= k else bar
+    may = usable & ~(rough + length[:, None] * miss < floor[:, None])
+    columns = np.flatnonzero(may.any(0))
+    # Products by matrix differ in their last digits from those by pair: they only say which pairs needn't be scored.
+    exact = np.where(may[:, columns], q @ x[columns].T, -np.inf)
+    if len(columns) > k:
+        floor = np.maximum(floor, np.partition(exact, -k, axis=1)[:, -k])
+    slack = 1e-12 * length * np.sqrt((x * x).sum(1).max(initial=0))
+    row, c = np.nonzero((exact > -np.inf) & (exact >= (floor - slack)[:, None]))
+    at = columns[c]
+    score = pair_scores(q, x, row, at)
+    order = np.lexsort((x_id[at], -score, row))
+    row, at, score = row[order], at[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    good = (place < k) & (score >= bar[row])
+    return row[good], x_id[at[good]], score[good]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -138,7 +172,7 @@ def _cells(table: pa.Table):
 def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, rank, neighbour_id, score): for every vector its k largest inner products with others, best first.
 
-    Scores are exact, the choice of neighbours approximate; of equal scores the lesser id comes first. Rows without id or
+    Scores and the choice of neighbours are exact; of equal scores the lesser id comes first. Rows without id or
     vector, with a null or NaN or infinity in it, or of other than the usual length (the commonest, the least of those) are
     left out. Repeated rows are one; of vectors under one id the least counts. A table of fewer than k + 1 vectors gives
     each all the others; an empty one gives an empty result. Other columns are ignored.
@@ -171,12 +205,14 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_co
             codes = encode(rest, x, book, weight)
             packed = codes[:, 0::2] * 16 + codes[:, 1::2]
             raw = pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * packed.shape[1]).astype(np.int32)), pa.py_buffer(packed.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), pa.array(np.sqrt((rest * rest).sum(1))), raw], names=["id", "v", "cell", "away", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), pa.array(np.sqrt((rest * rest).sum(1))), pa.array(missing(x, cell, centres, codes, book)), raw], names=["id", "v", "cell", "away", "miss", "codes"])
 
-    coded = checkpoint(rows.mapInArrow(assign, "id long, v array<double>, cell long, away double, codes binary"))
+    coded = checkpoint(rows.mapInArrow(assign, "id long, v array<double>, cell long, away double, miss double, codes binary"))
     size, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
     for c, m, r in coded.groupBy("cell").agg(F.count(F.lit(1)), F.max("away")).collect():
         size[c], radius[c] = m, r
+    # What times |q| bounds <q, x> - <q, centre> in a cell, rounding included.
+    reach = radius + 1e-9 * (radius + np.sqrt((centres * centres).sum(1)))
     # Groups: runs of cells; a cell beyond GROUP_ROWS has several groups to itself, its vectors dealt by hash.
     first_group, parts, group, filled = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64), 0, 0
     for c in range(len(centres)):
@@ -189,7 +225,7 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_co
         else:
             filled += size[c]
     place = F.broadcast(spark.createDataFrame([(c, int(first_group[c]), int(parts[c])) for c in range(len(centres))], "cell long, first long, parts long"))
-    data = coded.join(place, "cell").select("id", "v", "cell", "codes", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("grp"))
+    data = coded.join(place, "cell").select("id", "v", "cell", "miss", "codes", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("grp"))
 
     def unpack(column):
         packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
@@ -199,11 +235,12 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_co
         return pa.table({"q": pa.array(q), "x": pa.array(x), "score": pa.array(s)})
 
     def within(table: pa.Table) -> pa.Table:
-        v, ids, codes, found = _matrix(table.column("v")), table.column("id").to_numpy(), unpack(table.column("codes")), []
-        for _, cell in _cells(table):
+        v, ids, miss, codes, found = _matrix(table.column("v")), table.column("id").to_numpy(), table.column("miss").to_numpy(), unpack(table.column("codes")), []
+        for c, cell in _cells(table):
             for a in range(0, len(cell), QUERY_BLOCK):
                 at = cell[a : a + QUERY_BLOCK]
-                row, x, s = best_of(v[at], ids[at], np.full(len(at), -np.inf), scan(v[at], codes[:, cell], book), v[cell], ids[cell], k)
+                rough = scan(v[at], codes[:, cell], book) + (v[at] @ centres[c]).astype(np.float32)[:, None]
+                row, x, s = best_of(v[at], ids[at], np.full(len(at), -np.inf), rough, miss[cell], v[cell], ids[cell], k)
                 found.append((ids[at][row], x, s))
         return result(*(np.concatenate(p) for p in zip(*found)))
 
@@ -217,7 +254,7 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_co
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)
                 q, home, bar = _matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                bound = q @ centres.T + np.sqrt((q * q).sum(1))[:, None] * radius[None, :] * (1 + 1e-9) + 1e-12
+                bound = q @ centres.T + np.sqrt((q * q).sum(1))[:, None] * reach[None, :]
                 want = (bound >= bar[:, None]) & (size > 0)[None, :]
                 # Its own cell has been searched, unless that cell is in parts.
                 want[np.arange(len(q)), home] &= parts[home] > 1
@@ -234,7 +271,7 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_co
         none = np.zeros(0, np.int64)
         if not base.num_rows or not asked.num_rows:
             return result(none, none, np.zeros(0))
-        v, ids, codes = _matrix(base.column("v")), base.column("id").to_numpy(), unpack(base.column("codes"))
+        v, ids, miss, codes = _matrix(base.column("v")), base.column("id").to_numpy(), base.column("miss").to_numpy(), unpack(base.column("codes"))
         q, q_id, home, bar = _matrix(asked.column("v")), asked.column("id").to_numpy(), asked.column("cell").to_numpy(), asked.column("bar").to_numpy()
         found, cells = [(none, none, np.zeros(0))], list(_cells(base))
         numbers = np.array([c for c, _ in cells])
@@ -242,7 +279,7 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_co
         for a in range(0, len(q), QUERY_BLOCK):
             at = by_home[a : a + QUERY_BLOCK]
             near_by = q[at] @ centres[numbers].T
-            bound = near_by + np.sqrt((q[at] * q[at]).sum(1))[:, None] * radius[numbers] * (1 + 1e-9) + 1e-12
+            bound = near_by + np.sqrt((q[at] * q[at]).sum(1))[:, None] * reach[numbers]
             want = (bound >= bar[at, None]) & ((home[at, None] != numbers) | (parts[numbers] > 1))
             use = np.flatnonzero(want.any(0))
             if not len(use):
@@ -250,7 +287,7 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_co
             members, counts = np.concatenate([cells[c][1] for c in use]), [len(cells[c][1]) for c in use]
             rough = scan(q[at], codes[:, members], book)
             rough += np.repeat(np.where(want, near_by, -np.inf)[:, use].astype(np.float32), counts, axis=1)
-            row, x, s = best_of(q[at], q_id[at], bar[at], rough, v[members], ids[members], k)
+            row, x, s = best_of(q[at], q_id[at], bar[at], rough, miss[members], v[members], ids[members], k)
             found.append((q_id[at][row], x, s))
         return result(*(np.concatenate(p) for p in zip(*found)))
 

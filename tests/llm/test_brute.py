@@ -139,6 +139,27 @@ def test_neighbours(spark, sf_dir):
     assert hits / (len(ids) * ann.K) >= 0.95
 
 
+def test_neighbours_among_copies(spark):
+    """Groups of several hundred near copies and exact ones, which codes can't tell apart."""
+    g = np.random.default_rng(8)
+    far, seeds = g.normal(size=(1200, 16)), g.normal(size=(2, 16))
+    x = np.concatenate([far, seeds[0] + g.normal(size=(600, 16)) * 0.003, np.repeat(seeds[1:], 300, 0)])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[-300:] = x[-1]
+    ids = g.permutation(len(x))
+    got = {}
+    for r in ann.neighbours(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["vec_id"], {})[r["rank"]] = (r["neighbour_id"], r["score"])
+    for k, i in enumerate(ids.tolist()):
+        score = (x * x[k]).sum(1)
+        score[k] = -np.inf
+        assert sorted(got[i]) == list(range(1, ann.K + 1)) and len({j for j, _ in got[i].values()}) == ann.K
+        assert np.allclose([got[i][n][1] for n in sorted(got[i])], np.sort(score)[::-1][: ann.K], rtol=0, atol=1e-12), k
+    copies = sorted(ids[-300:].tolist())
+    for i in copies:
+        assert [got[i][n][0] for n in sorted(got[i])] == [c for c in copies if c != i][: ann.K]
+
+
 def test_language_sizes(docs, rows):
     dicts = langid.train(docs)
     got = {r["doc_id"]: (r["lang"], r["accepted"]) for r in langid.identify(docs).collect()}
