@@ -1,7 +1,7 @@
 """Near-duplicate documents by SimHash and deletion-variant signatures.
 
-The index signature of SEGMENTS * WIDTH bits is the sign of the sum of the hashes of a document's distinct words of LONG_WORD
-bytes or more (short ones are common to a language, and would make all its documents alike). It is cut into SEGMENTS
+The index signature of SEGMENTS * WIDTH bits is the sign of the sum of the hashes of a document's distinct words, each with one
+vote: repeated words, mostly those common to a language, don't make all its documents alike. It is cut into SEGMENTS
 segments. Two signatures that differ in at most 2 * SEGMENTS - 1 bits have a segment that differs by one bit at most, so they
 share that segment with one bit taken out. Every segment is indexed under its WIDTH one-wildcard variants (and once
 whole), equal variants meet, and a second signature of 64 * CHECK_WORDS bits, over all distinct words, verifies the pairs: a pair is
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from .common import checkpoint, col, fresh, join_small
 from .kernels import bit_sums, mix64, safe_cuts, spans, utf8, word_hashes
 
-SEGMENTS, WIDTH, LONG_WORD, CHECK_WORDS, MAX_DISTANCE = 14, 26, 5, 4, 56
+SEGMENTS, WIDTH, CHECK_WORDS, MAX_DISTANCE = 14, 26, 4, 56
 INDEX_WORDS = (SEGMENTS * WIDTH + 63) // 64
 SEGS, CHECKS = [f"s{k}" for k in range(SEGMENTS)], [f"v{k}" for k in range(CHECK_WORDS)]
 WHOLE = 31
@@ -36,29 +36,25 @@ def signatures(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Segments, verification words and whether there is any word, for each row."""
     n = len(off) - 1
     index, check = np.zeros((n, 64 * INDEX_WORDS), np.int64), np.zeros((n, 64 * CHECK_WORDS), np.int64)
-    count, distinct = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    count = np.zeros(n, np.int64)
     for i, j in spans(off):
         lo, hi = off[i], off[j]
         if j == i + 1 and hi - lo > 2 << 20:
             cuts, h = safe_cuts(data[lo:hi]), np.zeros(0, np.uint64)
             for a, b in zip(cuts, cuts[1:]):
-                h = np.unique(np.concatenate([h, word_hashes(data[lo + a : lo + b], np.array([0, b - a]), LONG_WORD)[0]]))
+                h = np.unique(np.concatenate([h, word_hashes(data[lo + a : lo + b], np.array([0, b - a]))[0]]))
             row = np.zeros(len(h), np.int64)
         else:
-            h, row = word_hashes(data[lo:hi], off[i : j + 1] - lo, LONG_WORD)
+            h, row = word_hashes(data[lo:hi], off[i : j + 1] - lo)
             _, at = np.unique(mix64(h + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
             at.sort()
             h, row = h[at], row[at]
         check[i:j] = bit_sums(h, row, j - i, CHECK_WORDS, INDEX_WORDS)
-        distinct[i:j] = np.bincount(row, minlength=j - i)
-        long = (h & np.uint64(1)) == 1
-        # A document without a long word is known by its short ones.
-        use = long | (np.bincount(row[long], minlength=j - i) == 0)[row]
-        index[i:j] = bit_sums(h[use], row[use], j - i, INDEX_WORDS, 0)
-        count[i:j] = np.bincount(row[use], minlength=j - i)
+        index[i:j] = bit_sums(h, row, j - i, INDEX_WORDS, 0)
+        count[i:j] = np.bincount(row, minlength=j - i)
     bits = (2 * index > count[:, None])[:, : SEGMENTS * WIDTH].reshape(n, SEGMENTS, WIDTH)
     segs = bits @ (np.int64(1) << np.arange(WIDTH, dtype=np.int64))
-    checks = np.packbits(2 * check > distinct[:, None], axis=1).view(">i8").astype(np.int64)
+    checks = np.packbits(2 * check > count[:, None], axis=1).view(">i8").astype(np.int64)
     return segs, checks, count > 0
 
 

@@ -45,6 +45,30 @@ def test_near_duplicates(spark, rows):
     assert np.mean([got[i] == got[i - 1_000_000] for i in edited]) >= 0.9
 
 
+def test_near_duplicates_with_short_words(spark):
+    """Recall against all copies that the verification accepts: mostly short words, and short texts."""
+    import random
+
+    r = random.Random(3)
+    word = lambda a, b: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(a, b)))
+    cases = {"inserted": [], "replaced": [], "numbers": [], "short": []}
+    for _ in range(60):
+        w = [word(2, 4) for _ in range(300)]
+        cases["inserted"].append((w, [*w[:150], word(9, 9), *w[150:]]))
+        cases["replaced"].append(([*w[:298], word(8, 8), word(9, 9)], [*w[:298], word(8, 8), word(9, 9)]))
+        w = [str(r.randint(0, 9999)) for _ in range(1000)] + [word(7, 7) for _ in range(3)]
+        cases["numbers"].append((w, [*w[:-1], word(8, 8)]))
+        w = [word(2, 8) for _ in range(18)]
+        cases["short"].append((w, [*w[:9], word(6, 6), *w[10:]]))
+    for name, pairs in cases.items():
+        texts = [(2 * k + side, " ".join(w)) for k, pair in enumerate(pairs) for side, w in enumerate(pair)]
+        checks = [simhash.signatures(*brute.text_bytes(t))[1][0] for _, t in texts]
+        far = [sum(bin((int(x) ^ int(y)) & (1 << 64) - 1).count("1") for x, y in zip(checks[2 * k], checks[2 * k + 1])) for k in range(len(pairs))]
+        got = {x["doc_id"]: x["group_id"] for x in simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        found = [got[2 * k] == got[2 * k + 1] for k in range(len(pairs)) if far[k] <= simhash.MAX_DISTANCE]
+        assert len(found) > 50 and np.mean(found) >= 0.95, (name, np.mean(found))
+
+
 def test_a_long_text_is_read_in_pieces():
     words = [f"word{k % 40_000}" for k in range(400_000)]
     a, b = " ".join(words), " ".join(reversed(words))
