@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from .common import checkpoint, col
 
-#: The bound of the training sample, and the settings of the search.
+#: The least training sample, and the settings of the search.
 TRAIN_ROWS = 20_000
 K, RERANK, SUB, THRESHOLD, GROUP_ROWS, QUERY_ROWS, QUERY_BLOCK, PAIRS = 10, 128, 2, 0.2, 8192, 65_536, 256, 1 << 16
 RESULT = "q long, x long, score double"
@@ -39,6 +39,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def training_size(n: int) -> tuple[int, int]:
+    """Vectors to train on and cells, for n vectors: as many cells as the root of n, and eight vectors of the sample for each."""
+    cells = round(math.sqrt(n))
+    sample = min(n, max(TRAIN_ROWS, 8 * cells))
+    return sample, max(1, min(cells, sample // 8))
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres * centres).sum(1) / 2
     return np.concatenate([(x[a : a + 4096] @ centres.T - half).argmax(1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
@@ -186,11 +193,11 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_co
         return rows.select(F.col("id").alias("vec_id"), F.lit(1).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0.0).alias("score")).where("false")
     dims, n = usual["d"], usual["n"]
     rows = rows.where(F.size("v") == dims)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).select("v").toArrow()
+    sample_rows, cells = training_size(n)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()
     learn = _matrix(sample.column(0))
     weight = eta(dims)
-    # As many cells as the root of the number of vectors, and no more than a sample can place.
-    centres = kmeans(learn, max(1, min(round(math.sqrt(n)), len(learn) // 8)))
+    centres = kmeans(learn, cells)
     # Cells in the order of their main axis, so that groups are of like cells.
     centred = centres - centres.mean(0)
     centres = centres[np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")]

@@ -184,6 +184,13 @@ def test_neighbours_among_copies(spark):
         assert [got[i][n][0] for n in sorted(got[i])] == [c for c in copies if c != i][: ann.K]
 
 
+def test_cells_and_their_sample_grow_with_the_vectors():
+    for n in (1, 9, 500, 51_282, 6_250_000, 25_000_000, 1_000_000_000):
+        sample, cells = ann.training_size(n)
+        assert sample <= n and cells >= 1 and (n < 64 or (cells == round(n**0.5) and sample >= 8 * cells)), n
+    assert ann.training_size(51_282) == (ann.TRAIN_ROWS, 226)
+
+
 def test_language_sizes(docs, rows):
     dicts = langid.train(docs)
     got = {r["doc_id"]: (r["lang"], r["accepted"]) for r in langid.identify(docs).collect()}
