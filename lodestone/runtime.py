@@ -1,11 +1,12 @@
-"""Where intermediate results go."""
+"""Where intermediate results go, and columns of any name."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage, in the shared folder, so that it outlives any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, whatever the case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        new = f"__{name}"
+        while new.lower() in have:
+            new = f"_{new}"
+        have.add(new.lower())
+        out.append(new)
+    return out
+
+
+def col(name: str) -> Column:
+    """The top-level column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
