@@ -2,59 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A side of a join is broadcast only when its counted rows, times the bytes a row takes, stay below this.
-BROADCAST_BYTES = 32 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees. Where it is unset, a temporary one, in local mode only."""
-    sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
-        folder = named
-    elif set_before := sc.getCheckpointDir():
-        return set_before
-    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def run_path(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+from ..runtime import checkpoint, col, fresh, run_path, shared_dir
 
+__all__ = ["checkpoint", "col", "fresh", "join_small", "ordered_sums", "run_path", "shared_dir"]
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage, in the shared folder, so that it outlives any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that df doesn't have, whatever the case."""
-    have, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        new = f"__{name}"
-        while new.lower() in have:
-            new = f"_{new}"
-        have.add(new.lower())
-        out.append(new)
-    return out
-
-
-def col(name: str) -> Column:
-    """The top-level column of exactly this name, dots and all."""
-    return F.col("`" + name.replace("`", "``") + "`")
+#: A side of a join is broadcast only when its counted rows, times the bytes a row takes, stay below this.
+BROADCAST_BYTES = 32 << 20
 
 
 def join_small(df: DataFrame, side: DataFrame, on, how: str, row_bytes: int = 64) -> DataFrame:

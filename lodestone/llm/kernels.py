@@ -43,16 +43,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 POWERS = np.cumprod(np.full(1024, GOLDEN))
+#: Words of one character: those of scripts without blanks between words.
+UNSEGMENTED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+#: White space and punctuation beyond ASCII.
+BETWEEN = [(0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x1680, 0x1680), (0x2000, 0x206F), (0x3000, 0x303F), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (a run of ASCII letters and digits and of other bytes above 127) and its row."""
+def _within(points: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    low, high = np.array(ranges).T
+    at = np.searchsorted(low, points, "right") - 1
+    return (at >= 0) & (points <= high[np.maximum(at, 0)])
+
+
+def word_bytes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes are in words, which begin one, and which of those begin a character of a script without blanks. ``edges`` begin texts."""
     is_word = WORD[data]
+    lone = np.zeros(len(data), bool)
+    # Lead bytes of characters that aren't letters of a word with blanks around it: U+0080-00FF (C2, C3) and all from U+0E00 on.
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xC3) | (data >= 0xE0))
+    if len(lead):
+        padded = np.append(data, np.zeros(4, np.uint8)).astype(np.int64)
+        size = np.where(data[lead] >= 0xF0, 4, np.where(data[lead] >= 0xE0, 3, 2))
+        point = padded[lead] & np.where(size == 4, 7, np.where(size == 3, 15, 31))
+        for k in range(1, 4):
+            point = np.where(size > k, point << 6 | padded[lead + k] & 63, point)
+        gap, single = _within(point, BETWEEN), _within(point, UNSEGMENTED)
+        for k in range(4):
+            at = lead[gap & (size > k)] + k
+            is_word[at[at < len(data)]] = False
+        lone[lead[single]] = True
     first = is_word.copy()
     first[1:] &= ~is_word[:-1]
+    if lone.any():
+        first |= lone
+        at = lead[single] + size[single]
+        first[at[at < len(data)]] |= is_word[at[at < len(data)]]
+    first[edges] = is_word[edges]
+    return is_word, first, lone
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word and its row.
+
+    A word is a run of letters and digits (of any bytes above 127 but white space and punctuation). In scripts without blanks a word is a
+    character together with the one after it.
+    """
     edge = off[:-1]
-    edge = edge[edge < len(data)]
-    first[edge] = is_word[edge]
+    is_word, first, lone = word_bytes(data, edge[edge < len(data)])
     start, place = np.flatnonzero(first), np.flatnonzero(is_word)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -61,7 +98,11 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     power = POWERS[(np.arange(len(place)) - np.repeat(at, length)) & 1023]
     h = np.add.reduceat((data[place].astype(np.uint64) + np.uint64(1)) * power, at)
     h = mix64(h ^ (length.astype(np.uint64) * GOLDEN))
-    return h, np.searchsorted(off, start, "right") - 1
+    row = np.searchsorted(off, start, "right") - 1
+    if (single := lone[start]).any():
+        k = np.flatnonzero(single[:-1] & single[1:] & (start[1:] == start[:-1] + length[:-1]) & (row[1:] == row[:-1]))
+        h[k] = mix64(h[k] + GOLDEN * h[k + 1])
+    return h, row
 
 
 # LANES[b] holds the eight bits of b in eight lanes of eight bits, the highest bit in the lowest lane.
@@ -91,6 +132,22 @@ def bit_sums(h: np.ndarray, row: np.ndarray, n: int, words: int, seed: int) -> n
     return out
 
 
+def ordered_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`word_hashes`, a long text being read in pieces."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for i, j in spans(off):
+        lo, hi = off[i], off[j]
+        if j == i + 1 and hi - lo > 2 << 20:
+            cuts = safe_cuts(data[lo:hi])
+            for a, b in zip(cuts, cuts[1:]):
+                h = word_hashes(data[lo + a : lo + b], np.array([0, b - a]))[0]
+                found.append((h, np.full(len(h), i)))
+        else:
+            h, row = word_hashes(data[lo:hi], off[i : j + 1] - lo)
+            found.append((h, row + i))
+    return np.concatenate([h for h, _ in found]), np.concatenate([r for _, r in found])
+
+
 def safe_cuts(data: np.ndarray, limit: int = SPAN_BYTES) -> list[int]:
     """Places to cut one long text into blocks of about ``limit`` bytes, at a byte outside words if there is one."""
     cuts = [0]

@@ -8,45 +8,64 @@ from collections import Counter, defaultdict
 import numpy as np
 import zstandard
 
-from lodestone.llm import langid, mixing, packing, simhash
+from lodestone.llm import langid, mixing, packing
 
 
-def groups(pairs, nodes):
-    """node -> least node it reaches."""
-    root = {n: n for n in nodes}
+def text_bytes(t):
+    b = t.encode()
+    return np.frombuffer(b, np.uint8), np.array([0, len(b)], np.int64)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {n: find(n) for n in nodes}
+def words(t):
+    return re.findall("[a-z0-9\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u167f]+", (t or "").lower())
 
 
-def text_bytes(t):
-    b = t.encode()
-    return np.frombuffer(b, np.uint8), np.array([0, len(b)], np.int64)
+def shingle_set(t):
+    w = words(t)
+    k = min(3, len(w))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
 
 
-def near_groups(rows):
-    """doc_id -> group over (doc_id, text): all pairs are tried."""
-    signed = {}
-    for i, t in rows:
-        if t:
-            segs, checks, ok = simhash.signatures(*text_bytes(t.lower()))
-            if ok[0]:
-                signed[i] = (segs[0], checks[0])
-    keys, pairs = sorted(signed), []
-    for k, a in enumerate(keys):
-        for b in keys[:k]:
-            apart = [bin(int(x) ^ int(y)).count("1") for x, y in zip(signed[a][0], signed[b][0])]
-            far = sum(bin((int(x) ^ int(y)) & (1 << 64) - 1).count("1") for x, y in zip(signed[a][1], signed[b][1]))
-            if min(apart) <= 1 and far <= simhash.MAX_DISTANCE:
-                pairs.append((a, b))
-    return groups(pairs, [i for i, _ in rows])
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 0.0
+
+
+def classes(rows):
+    """doc_id -> the least doc_id with the same words in the same order, over (doc_id, text), ids all different."""
+    first = {}
+    return {i: first.setdefault(tuple(words(t)), i) if words(t) else i for i, t in sorted(rows)}
+
+
+def near_pairs(rows, threshold=0.5):
+    """(a, b) -> similarity of the pairs of classes that are near."""
+    cls = classes(rows)
+    sets = {i: shingle_set(t) for i, t in rows if cls[i] == i and words(t)}
+    holders, pairs = defaultdict(set), {}
+    for i, s in sets.items():
+        for x in s:
+            holders[x].add(i)
+    for i, s in sets.items():
+        for j in {j for x in s for j in holders[x] if j > i}:
+            if (v := jaccard(s, sets[j])) >= threshold:
+                pairs[i, j] = v
+    return pairs
+
+
+def decided(cls, pairs):
+    """doc_id -> (class, number of near classes, document kept for it)."""
+    beside = defaultdict(set)
+    for a, b in pairs:
+        beside[a].add(b)
+        beside[b].add(a)
+    kept, lost = set(), {}
+    for i in sorted(beside, key=lambda i: (-len(beside[i]), hashlib.md5(str(i).encode()).hexdigest(), i)):
+        if not beside[i] & kept:
+            kept.add(i)
+    for i in beside:
+        if i not in kept:
+            # Kept ones near it that were decided before it: all kept ones are, as it would have stopped the others.
+            lost[i] = min(beside[i] & kept)
+    return {i: (c, len(beside[c]), lost.get(c, c)) for i, c in cls.items()}
 
 
 def language(t, dicts):
