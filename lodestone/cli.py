@@ -127,7 +127,13 @@ def _settings(path: str | None) -> dict:
 
 
 def _emit(lines: DataFrame | list[str], path: str | None) -> None:
-    """Lines in their order, to a file or to standard output. They come to this process one partition at a time."""
+    """Lines in their order, to a file or to standard output. They come to this process one partition at a time.
+
+    A path with a scheme, such as hdfs:// or s3a://, becomes a folder that Spark's tasks write.
+    """
+    if path and "://" in path and isinstance(lines, DataFrame):
+        lines.write.mode("overwrite").text(path)
+        return
     rows = (r[0] for r in lines.toLocalIterator()) if isinstance(lines, DataFrame) else iter(lines)
     out = open(path, "w", encoding="utf-8") if path else sys.stdout
     try:

@@ -20,7 +20,8 @@ WS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: The same for RE2.
 WS_RE2 = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Digits to str.isdigit that aren't decimal (category Nd): superscripts, circled digits and the like.
-ODD_DIGITS = "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x20000)) if c.isdigit() and unicodedata.category(c) != "Nd")
+_ODD = [i for i in range(0x20000) if chr(i).isdigit() and unicodedata.category(chr(i)) != "Nd"]
+ODD_DIGITS = "".join(f"\\x{{{i:x}}}-\\x{{{next(j for j in range(i, 0x20001) if j + 1 not in _ODD):x}}}" for i in _ODD if i - 1 not in _ODD)
 URL = r"(?iU)https?://[.\w-]+(?::[0-9]+)?(?:/[/.\w]*)?(?:\?[%&=.\w]*)?(?:#[.\w]*)?"
 EMAIL = r"(?U)\b[a-zA-Z0-9%+._-]+@[a-zA-Z0-9.-]+\.[a-z|A-Z]{2,}\b"
 PHONE = rf"(?U)(?:\+?1[.{WS}-]?)?\(?\d{{3}}\)?[.{WS}-]?\d{{3}}[.{WS}-]?\d{{4}}"
@@ -50,6 +51,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{WS}]+"), lambda w: w != "")
 
 
+def word_numbers(text: Column) -> Column:
+    """A struct of how many words a text has (n) and how many different ones (different), without a function for each word.
+
+    A split at white space gives the words, and an empty string at an end where the text has white space.
+    """
+
+    def numbers(s: Column) -> Column:
+        first, last = F.get(s, F.lit(0)) == "", F.get(s, F.size(s) - 1) == ""
+        n = F.size(s) - first.cast("int") - ((F.size(s) > 1) & last).cast("int")
+        return F.struct(n.alias("n"), (F.size(F.array_distinct(s)) - (first | last).cast("int")).alias("different"))
+
+    return bound(F.split(text, f"[{WS}]+"), numbers)
+
+
 def arrow_text(function: Callable[[str], str]):
     """A column function that applies a Python function to the strings that aren't null."""
 

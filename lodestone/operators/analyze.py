@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import UNK, special
+from ..runtime import checkpoint, col, fresh
 from .bpe import BpeModel, train
 from .pretokenize import word_counts
 
@@ -39,7 +40,8 @@ def named(usage: DataFrame, model: BpeModel) -> DataFrame:
 
 
 def _usage_sums(df: DataFrame, model: BpeModel, text_col: str) -> DataFrame:
-    usage = named(token_usage(df.withColumn("__o", F.lit(0)), model, text_col, "__o"), model)
+    texts = df.select(col(text_col).alias("text"), F.lit(0).alias("o"))
+    usage = named(token_usage(texts, model, "text", "o"), model)
     unk = model.vocab.get(UNK, -1)
     return usage.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_tokens"),
@@ -91,8 +93,8 @@ def analyze_texts(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text_c
     ranked = flat.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "pos"))).where(F.col("r") <= top)
     token = F.get(model.tokens(F.array("id")), 0).alias("token")
     best = ranked.select(id_col, "r", token, "n").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("r", "token", "n"))).alias("b"))
-    best = best.select(F.col(id_col).alias("__id"), F.transform("b", lambda x: F.struct(x["token"].alias("token"), x["n"].alias("n"))).alias("most_common_tokens"))
-    out = ids.join(best, F.col(id_col) == F.col("__id"), "left")
+    best = best.select(F.col(id_col).alias("own_id"), F.transform("b", lambda x: F.struct(x["token"].alias("token"), x["n"].alias("n"))).alias("most_common_tokens"))
+    out = ids.join(best, F.col(id_col) == F.col("own_id"), "left")
     return out.select(
         id_col, "text_length", size.alias("num_tokens"), _ratio(F.col("text_length"), size).alias("compression_ratio"), F.size(F.array_distinct("ids")).alias("unique_tokens"),
         F.slice("ids", 1, first).alias("token_ids"), F.coalesce("most_common_tokens", F.array().cast("array<struct<token:string,n:bigint>>")).alias("most_common_tokens"),
@@ -194,13 +196,12 @@ def batches(df: DataFrame, batch_size: int, order_col: str = "doc_id") -> DataFr
 
     Numbers come from counts of range partitions, not from one sort of everything.
     """
-    from ..runtime import checkpoint
-
-    ranged = checkpoint(df.repartitionByRange(F.col(order_col)).sortWithinPartitions(order_col).withColumn("__p", F.spark_partition_id()))
-    before = Window.partitionBy(F.lit(0)).orderBy("__p")
-    bases = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.sum("__n").over(before) - F.col("__n"))
-    placed = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order_col))).join(bases.select("__p", "__b"), "__p")
-    return placed.withColumn("batch_id", F.expr(f"(__b + __r - 1) div {batch_size}")).drop("__p", "__r", "__b")
+    part, rows, base, place = fresh(df, "part", "rows", "base", "place")
+    ranged = checkpoint(df.repartitionByRange(col(order_col)).sortWithinPartitions(col(order_col)).withColumn(part, F.spark_partition_id()))
+    before = Window.partitionBy(F.lit(0)).orderBy(part)
+    bases = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(rows)).withColumn(base, F.sum(rows).over(before) - F.col(rows))
+    placed = ranged.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(col(order_col)))).join(bases.select(part, base), part)
+    return placed.select(*[col(c) for c in df.columns if c != "batch_id"], F.expr(f"({base} + {place} - 1) div {batch_size}").alias("batch_id"))
 
 
 def map_texts(df: DataFrame, function: Callable[[str], object], result: str = "string", text_col: str = "text", out: str = "result") -> DataFrame:

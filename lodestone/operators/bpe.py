@@ -102,6 +102,18 @@ class BpeModel:
             return [word] if word in self.vocab else [UNK]
         return (merging.split_canonical if self.mode == "canonical" else merging.split_compat)(word, self.ranks)
 
+    @cached_property
+    def _memo(self) -> dict[str, list[int]]:
+        return {}
+
+    def clear_cache(self) -> None:
+        """Forget the pre-tokens that :meth:`encode_text` remembers. Workers keep theirs for a task only."""
+        self._memo.clear()
+
+    def get_cache_stats(self) -> dict[str, int]:
+        """How many pre-tokens are remembered. Decoding is a lookup and remembers nothing."""
+        return {"encode_cache_size": len(self._memo), "decode_cache_size": 0}
+
     def word_ids(self, word: str) -> list[int]:
         ids = []
         for t in self.split_word(word):
@@ -117,7 +129,14 @@ class BpeModel:
 
         self._need_training()
         whole = unicodedata.normalize("NFC", text) if self.config.normalize_unicode else text
-        return [i for w in regex.findall(self.config.regex_pattern, whole) for i in self.word_ids(w)]
+        out: list[int] = []
+        for w in regex.findall(self.config.regex_pattern, whole):
+            if (ids := self._memo.get(w)) is None:
+                ids = self.word_ids(w)
+                if self.config.enable_caching and len(self._memo) < MEMO:
+                    self._memo[w] = ids
+            out += ids
+        return out
 
     def decode_ids(self, ids: Iterable[int]) -> str:
         """The tokens end to end; an unknown id shows as the unknown token."""

@@ -9,20 +9,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..runtime import checkpoint
+from ..runtime import checkpoint, col, fresh, join_small
 
 SHINGLE_WORDS = 5
 
 
-def deduplicate(df: DataFrame, text_col: str = "text", order_col: str = "doc_id") -> DataFrame:
-    """The first row, by order_col, of each distinct text. Null is a text like others.
+def first_of_each(df: DataFrame, key: Column, order_col: str) -> DataFrame:
+    """One row of df for each value of ``key``: the first by order_col, rows without one being last.
 
-    The first shuffle has digests and order_col only, combined before it; whole rows move once, to meet the firsts.
+    Of rows alike in that, the one whose columns hash least stays, any one if they are equal throughout. Rows whose key occurs once are
+    kept where they lie: only keys are shuffled, combined before it, and the rows that share one.
     """
-    hashed = df.withColumn("__d", F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit("")))
-    firsts = hashed.groupBy("__d").agg(F.min(order_col).alias("__first"))
-    on = (hashed["__d"] == firsts["__d"]) & (F.col(order_col) == F.col("__first"))
-    return hashed.join(firsts, on, "left_semi").drop("__d")
+    k, n, best = fresh(df, "key", "rows", "best")
+    keyed = df.withColumn(k, key)
+    several = checkpoint(keyed.groupBy(k).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(k))
+    single = join_small(keyed, several, k, "left_anti", 128).drop(k)
+    order = F.struct(col(order_col).isNull(), col(order_col), F.xxhash64(*[col(c) for c in df.columns]))
+    # Fields go by number: a column's name may have dots.
+    whole = F.struct(*[col(c).alias(f"f{i}") for i, c in enumerate(df.columns)])
+    firsts = join_small(keyed, several, k, "left_semi", 128).groupBy(k).agg(F.min_by(whole, order).alias(best))
+    return single.unionByName(firsts.select(*[F.col(best)[f"f{i}"].alias(c) for i, c in enumerate(df.columns)]))
+
+
+def deduplicate(df: DataFrame, text_col: str = "text", order_col: str = "doc_id") -> DataFrame:
+    """One row of each distinct text, the first by order_col; see :func:`first_of_each` for ties and nulls. Null is a text like others."""
+    return first_of_each(df, F.coalesce(F.sha2(col(text_col).cast("binary"), 256), F.lit("")), order_col)
 
 
 def normal_form(text: Column) -> Column:
@@ -52,10 +63,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def first_by_hash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) of the first document of each normal form."""
-    hashed = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("h"))
-    first = hashed.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    return hashed.join(first, ["h", "doc_id"], "left_semi").select("doc_id", "text")
+    """(doc_id, text) of the first document of each normal form, of which null is one."""
+    narrow = df.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    return first_of_each(narrow, F.coalesce(text_hash(F.col("text")), F.lit("")), "doc_id")
 
 
 def similar_pairs(df: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
@@ -82,8 +92,8 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, id_col: str = "doc_id"
     return found.where(F.col("similarity") >= threshold)
 
 
-def greedy_survivors(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id) of what is kept when documents come in order and one similar to an earlier kept one is dropped.
+def greedy_dropped(pairs: DataFrame) -> DataFrame | None:
+    """(doc_id) of what is dropped, None if nothing, when documents come in order and one similar to an earlier kept one is dropped.
 
     Not one of each connected group: if a ~ b ~ c and not a ~ c, a and c stay. In each round an undecided document without
     earlier undecided or kept neighbours is kept, and one with an earlier kept neighbour is dropped. The rounds work on
@@ -102,20 +112,31 @@ def greedy_survivors(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         open_pairs = checkpoint(open_pairs.join(kept.withColumnRenamed("doc_id", "i"), "i", "left_anti"))
         freed = open_pairs.select(F.col("i").alias("doc_id")).distinct().join(open_pairs.select(F.col("j").alias("doc_id")), "doc_id", "left_anti")
         kept = checkpoint(freed)
+    return dropped
+
+
+def greedy_survivors(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id) of those of ids that :func:`greedy_dropped` leaves."""
+    dropped = greedy_dropped(pairs)
     return ids if dropped is None else ids.join(dropped, "doc_id", "left_anti")
 
 
 def near_deduplicate(df: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of df that an order-dependent detector keeps: not the normal form of an earlier document, nor similar to an earlier kept one.
 
-    A threshold of 0 or less keeps the first document only; one above 1 leaves exact deduplication of normal forms.
-    Documents need distinct ids. Null texts are dropped.
+    A threshold of 0 or less keeps the first document only; one above 1 leaves exact deduplication of normal forms. Null texts are
+    dropped. Rows without id come after all others and are compared by normal form only. Of rows with one id and different normal
+    forms, a similarity of one is a similarity of all.
     """
-    rows = df.where(F.col(text_col).isNotNull())
+    rows = df.where(col(text_col).isNotNull())
     if threshold <= 0:
-        return rows.join(rows.agg(F.min(id_col).alias(id_col)), id_col, "left_semi")
-    firsts = checkpoint(first_by_hash(rows, id_col, text_col))
-    ids = firsts.select("doc_id")
-    if threshold <= 1:
-        ids = greedy_survivors(ids, similar_pairs(firsts, threshold))
-    return rows.join(ids.select(F.col("doc_id").alias("__kept")), F.col(id_col) == F.col("__kept"), "left_semi")
+        return first_of_each(rows, F.lit(0), id_col)
+    firsts = checkpoint(first_of_each(rows, text_hash(col(text_col)), id_col))
+    if threshold > 1:
+        return firsts
+    named = firsts.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).where("doc_id is not null")
+    dropped = greedy_dropped(similar_pairs(named, threshold))
+    if dropped is None:
+        return firsts
+    (gone,) = fresh(firsts, "gone")
+    return firsts.join(dropped.select(F.col("doc_id").alias(gone)), col(id_col) == F.col(gone), "left_anti")

@@ -1,7 +1,7 @@
 """The operators as queries over whole tables, and their SQL for another engine where SQL can say it.
 
-SQL is for DuckDB, whose patterns are RE2's: without look-around or back-references, so repetition ratios, the usual word pattern and
-trained tokenizers have none. Those are held against brute-force versions in the tests.
+SQL is for DuckDB, whose patterns are RE2's: without look-around or back-references, so repetition ratios and what goes beyond its
+functions have none. Those are held against brute-force versions in the tests. Byte-pair merges are a recursion over the words.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from ..config import CODE_PATTERN, PreprocessingConfig, TokenizerConfig, chat_co
 from ..functions import text as T
 from ..operators import analyze, clean, conversation, dedup, pretokenize, quality
 from ..operators.bpe import BpeModel, build, merge_models, train
+from ..runtime import spread
 from ..sources import writers
 from . import pipeline
 
@@ -44,7 +45,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 # -- cleaning
@@ -121,7 +122,8 @@ def repetition_ratio(spark, sf_dir):
 
 @query(METRICS_SQL.replace("{documents}", "documents") + "SELECT doc_id, round(quality_score, 6) AS quality_score FROM s")
 def quality_score(spark, sf_dir):
-    return docs(spark, sf_dir).where("text <> ''").select("doc_id", F.round(quality.score(F.col("text")), 6).alias("quality_score"))
+    rows = docs(spark, sf_dir).where("text <> ''").withColumn("w", T.word_numbers(F.col("text")))
+    return rows.select("doc_id", F.round(quality.score(F.col("text"), None, F.col("w")), 6).alias("quality_score"))
 
 
 _GOOD = "length BETWEEN 50 AND 1000000 AND word_count >= 10 AND quality_score >= 0.5"
@@ -129,7 +131,7 @@ _GOOD = "length BETWEEN 50 AND 1000000 AND word_count >= 10 AND quality_score >=
 
 @query(METRICS_SQL.replace("{documents}", "documents") + f"SELECT doc_id FROM s WHERE {_GOOD}")
 def high_quality(spark, sf_dir):
-    return docs(spark, sf_dir).where(quality.is_high_quality(F.col("text"))).select("doc_id")
+    return quality.judged(docs(spark, sf_dir), "good").where("good").select("doc_id")
 
 
 _CLEANED = f"(SELECT doc_id, lang, coalesce({PARAGRAPHS.replace('{0}', 't')}, '') AS text FROM (SELECT doc_id, lang, regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]', '', 'g'), '[\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g') AS t FROM documents))"
@@ -143,7 +145,7 @@ LIGHT = PreprocessingConfig(fix_encoding=False, fix_html_entities=False, normali
 def quality_by_language(spark, sf_dir):
     """The flagship: cleaned, judged, and counted by language."""
     cleaned = docs(spark, sf_dir).select("lang", clean.clean(F.col("text"), LIGHT).alias("text")).where("text <> ''")
-    judged = cleaned.select("lang", F.length("text").alias("n"), quality.is_high_quality(F.col("text"), LIGHT).alias("good"))
+    judged = quality.judged(cleaned, "good", LIGHT).select("lang", F.length("text").alias("n"), "good")
     return judged.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"), F.count_if("good").alias("n_kept"), F.coalesce(F.sum(F.when(F.col("good"), F.col("n"))), F.lit(0)).cast("long").alias("chars_kept"), F.round(F.avg(F.col("good").cast("double")), 6).alias("retention")
     )
@@ -151,7 +153,7 @@ def quality_by_language(spark, sf_dir):
 
 @query("SELECT l.quality, count(*) AS n, CAST(sum(CASE WHEN g.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_good FROM labels l LEFT JOIN (" + METRICS_SQL.replace("{documents}", "documents") + f"SELECT doc_id FROM s WHERE {_GOOD}) g ON l.doc_id = g.doc_id GROUP BY l.quality")
 def quality_against_labels(spark, sf_dir):
-    good = docs(spark, sf_dir).where(quality.is_high_quality(F.col("text"))).select("doc_id", F.lit(1).alias("g"))
+    good = quality.judged(docs(spark, sf_dir), "good").where("good").select("doc_id", F.lit(1).alias("g"))
     return docs(spark, sf_dir, "labels").join(good, "doc_id", "left").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count("g").alias("n_good"))
 
 
@@ -171,7 +173,7 @@ def md5_dedup(spark, sf_dir):
 
 
 SHINGLES_SQL = f"""
-WITH w AS (SELECT doc_id, {NORMAL} AS form, {WORDS.replace('{0}', NORMAL)} AS words FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY md5({NORMAL}) ORDER BY doc_id) = 1),
+WITH w AS (SELECT doc_id, {NORMAL} AS form, {WORDS.replace('{0}', NORMAL)} AS words FROM {{documents}} d WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY md5({NORMAL}) ORDER BY doc_id) = 1),
 s AS (SELECT doc_id, CASE WHEN len(words) < 5 THEN [form] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS s FROM w),
 p AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
 c AS (SELECT a.doc_id AS i, b.doc_id AS j, a.n AS ni, b.n AS nj, count(*) AS c FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
@@ -179,18 +181,21 @@ pairs AS (SELECT i, j, c / (ni + nj - c) AS similarity FROM c WHERE c / (ni + nj
 """
 
 
-@query(SHINGLES_SQL + "SELECT i, j, round(similarity, 6) AS similarity FROM pairs")
+@query(SHINGLES_SQL.replace("{documents}", "documents") + "SELECT i, j, round(similarity, 6) AS similarity FROM pairs")
 def shingle_pairs(spark, sf_dir):
     return dedup.similar_pairs(dedup.first_by_hash(docs(spark, sf_dir).where("text is not null"))).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
-@query(
+GREEDY_SQL = (
     SHINGLES_SQL.replace("WITH", "WITH RECURSIVE", 1)
     + """, seq AS (SELECT j, list(i ORDER BY i) AS earlier, row_number() OVER (ORDER BY j) AS k FROM pairs GROUP BY j),
 walk(k, dropped) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
-  SELECT walk.k + 1, CASE WHEN len(list_filter(seq.earlier, lambda e: NOT list_contains(walk.dropped, e))) > 0 THEN list_append(walk.dropped, seq.j) ELSE walk.dropped END FROM walk JOIN seq ON seq.k = walk.k + 1)
-SELECT doc_id FROM w WHERE NOT list_contains((SELECT dropped FROM walk ORDER BY k DESC LIMIT 1), doc_id)"""
+  SELECT walk.k + 1, CASE WHEN len(list_filter(seq.earlier, lambda e: NOT list_contains(walk.dropped, e))) > 0 THEN list_append(walk.dropped, seq.j) ELSE walk.dropped END FROM walk JOIN seq ON seq.k = walk.k + 1),
+kept AS (SELECT doc_id FROM w WHERE NOT list_contains((SELECT dropped FROM walk ORDER BY k DESC LIMIT 1), doc_id))"""
 )
+
+
+@query(GREEDY_SQL.replace("{documents}", "documents") + " SELECT doc_id FROM kept")
 def near_dedup_greedy(spark, sf_dir):
     return dedup.near_deduplicate(docs(spark, sf_dir)).select("doc_id")
 
@@ -198,14 +203,33 @@ def near_dedup_greedy(spark, sf_dir):
 # -- preparation
 
 
-@query()
+_ADMITTED = _CLEANED.replace("FROM documents", "FROM documents WHERE text <> ''")
+_JUDGED = f"(SELECT doc_id, text FROM {_ADMITTED} c WHERE doc_id IN (" + METRICS_SQL.replace("{documents}", _ADMITTED) + f"SELECT doc_id FROM s WHERE {_GOOD}))"
+SPLIT = LIGHT.with_(split_sentences=True)
+
+
+@query(GREEDY_SQL.replace("{documents}", _JUDGED) + f" SELECT doc_id, text FROM {_JUDGED} j WHERE doc_id IN (FROM kept)")
 def prepared_documents(spark, sf_dir):
-    return pipeline.prepare(docs(spark, sf_dir))
+    return pipeline.prepare(docs(spark, sf_dir), LIGHT)
 
 
-@query()
+@query(
+    GREEDY_SQL.replace("{documents}", _JUDGED)
+    + f""", n AS (SELECT (SELECT count(*) FROM documents WHERE text <> '') AS total_processed, (SELECT count(*) FROM {_ADMITTED} a WHERE text <> '') AS after_cleaning,
+  (SELECT count(*) FROM {_JUDGED} j) AS after_quality_filter, (SELECT count(*) FROM kept) AS after_deduplication,
+  (SELECT count(*) FROM {_JUDGED} j WHERE doc_id IN (FROM kept) AND {SENTENCES.replace("{0}", "text")} <> []) AS final_count)
+SELECT *, round(after_cleaning / total_processed, 6) AS cleaning_retention_rate, round(after_quality_filter / total_processed, 6) AS quality_retention_rate,
+  round(after_deduplication / total_processed, 6) AS dedup_retention_rate, round(final_count / total_processed, 6) AS overall_retention_rate FROM n"""
+)
 def preparation_statistics(spark, sf_dir):
-    return pipeline.statistics(pipeline.flagged(docs(spark, sf_dir), PreprocessingConfig(split_sentences=True)))
+    s = pipeline.statistics(pipeline.flagged(docs(spark, sf_dir), SPLIT))
+    return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+@query()
+def prepared_by_default(spark, sf_dir):
+    """With encodings, entities and Unicode forms repaired, which SQL can't."""
+    return pipeline.prepare(docs(spark, sf_dir))
 
 
 # -- pre-tokens and training
@@ -221,7 +245,14 @@ def word_counts_code(spark, sf_dir):
     return pretokenize.word_counts(docs(spark, sf_dir), CODE)
 
 
-@query()
+# The usual pattern looks ahead once: white space before a word leaves its last blank to the word. A mark before that blank says the same.
+_MARK = "\\x{e000}"
+_NL = "\\n\\r"
+_MARKED = f"regexp_replace(nfc_normalize(text), '([{W}]+)([\\x09\\x0b\\x0c\\x1c-\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}])([^{W}])', '\\1' || chr(57344) || '\\2\\3', 'g')"
+USUAL_RE2 = "|".join((rf"''(?i:s|d|m|t|ll|ve|re)", rf"[^\p{{L}}\p{{N}}{_NL}{_MARK}]?\p{{L}}+", r"\p{N}{1,3}", rf" ?[^\p{{N}}\p{{L}}{W}{_MARK}]+[{_NL}]*", rf"[{W}]*[{_NL}]", rf"[{W}]+"))
+
+
+@query(f"WITH p AS (SELECT doc_id, regexp_extract_all({_MARKED}, '{USUAL_RE2}') AS ws FROM documents), e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM p), c AS (SELECT word, count(*) AS freq, min({{'d': doc_id, 'p': pos}}) AS f FROM e GROUP BY word HAVING count(*) >= 2) SELECT word, freq, f.d AS first_doc, CAST(f.p AS INTEGER) AS first_pos FROM c")
 def word_counts_usual(spark, sf_dir):
     return pretokenize.word_counts(docs(spark, sf_dir))
 
@@ -253,18 +284,64 @@ def _chars(spark: SparkSession, sf_dir: str) -> BpeModel:
     return train(docs(spark, sf_dir), CODE)
 
 
-@query()
+#: A tokenizer of few merges, which SQL can learn too.
+FEW = TokenizerConfig(regex_pattern=CODE_PATTERN, vocab_size=170)
+
+
+def _few(spark: SparkSession, sf_dir: str) -> BpeModel:
+    return train(docs(spark, sf_dir), FEW)
+
+
+# Words as symbols between chr(1) and chr(2). In each round the commonest pair of those that training saw, of equal ones the first met, is joined everywhere.
+MERGES_SQL = (
+    COUNTS_SQL.replace("WITH", "WITH RECURSIVE", 1)
+    + f""", bw AS (SELECT DISTINCT unnest(regexp_extract_all(nfc_normalize(text), '{CODE_RE2}')) AS word FROM benchmark),
+o AS (SELECT word, freq, freq >= 2 AS learned, row_number() OVER (ORDER BY f) AS o FROM c UNION ALL SELECT word, 0, false, 0 FROM bw WHERE word NOT IN (SELECT word FROM c)),
+ch AS (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS ch FROM o WHERE learned),
+merged(k, word, freq, o, learned, s, l, r) AS (
+  SELECT 0, word, freq, o, learned, chr(1) || array_to_string(regexp_extract_all(word, '(?s).'), chr(2) || chr(1)) || chr(2), NULL::VARCHAR, NULL::VARCHAR FROM o
+  UNION ALL
+  SELECT m.k + 1, m.word, m.freq, m.o, m.learned, replace(m.s, chr(1) || b.l || chr(2) || chr(1) || b.r || chr(2), chr(1) || b.l || b.r || chr(2)), b.l, b.r
+  FROM merged m, (
+    SELECT l, r FROM (SELECT freq, o, i, t[i] AS l, t[i + 1] AS r FROM (SELECT freq, o, t, unnest(range(1, len(t))) AS i FROM (
+      SELECT freq, o, string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1)) AS t FROM merged WHERE learned)))
+    GROUP BY l, r HAVING sum(freq) >= 2 ORDER BY sum(freq) DESC, min(o * 1000000 + i) LIMIT 1) b
+  WHERE m.k < {FEW.vocab_size} - 4 - (SELECT count(*) FROM ch)),
+learned AS (SELECT DISTINCT k, l, r FROM merged WHERE k > 0),
+ids AS (SELECT unnest(['<|endoftext|>', '<|startoftext|>', '<|pad|>', '<|unk|>']) AS token, unnest([0, 1, 2, 3]) AS id
+  UNION ALL SELECT ch, 3 + row_number() OVER (ORDER BY encode(ch)) FROM ch
+  UNION ALL SELECT l || r, 3 + (SELECT count(*) FROM ch) + k FROM learned),
+voc AS (SELECT token, max(id) AS id FROM ids GROUP BY token),
+ts AS (SELECT word, CASE WHEN word IN (SELECT token FROM voc) THEN [word] ELSE string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1)) END AS t FROM merged WHERE k = (SELECT max(k) FROM merged)),
+tk AS (SELECT word, i, coalesce(id, 3) AS id, coalesce(voc.token, '<|unk|>') AS token FROM (SELECT word, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM ts) x LEFT JOIN voc ON x.token = voc.token)
+"""
+)
+
+
+@query(MERGES_SQL + 'SELECT CAST(k - 1 AS INTEGER) AS rank, l AS "left", r AS "right" FROM learned')
 def bpe_merges(spark, sf_dir):
-    return _trained(spark, sf_dir).merge_table(spark)
+    return _few(spark, sf_dir).merge_table(spark)
 
 
-@query()
+@query(MERGES_SQL + "SELECT token, CAST(id AS INTEGER) AS id FROM ids")
 def bpe_vocab(spark, sf_dir):
-    return _trained(spark, sf_dir).vocab_table(spark)
+    return _few(spark, sf_dir).vocab_table(spark)
 
 
-@query()
+@query(MERGES_SQL + "SELECT documents.doc_id, coalesce(x.ids, '') AS ids FROM documents LEFT JOIN (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos, i) AS ids FROM e JOIN tk USING (word) GROUP BY doc_id) x USING (doc_id)")
 def encode_documents(spark, sf_dir):
+    m = _few(spark, sf_dir)
+    return docs(spark, sf_dir).select("doc_id", writers.as_ids(m.encode(F.col("text"))).alias("ids"))
+
+
+@query()
+def bpe_merges_usual(spark, sf_dir):
+    """Two thousand tokens, by the usual pattern."""
+    return _trained(spark, sf_dir).merge_table(spark)
+
+
+@query()
+def encode_usual(spark, sf_dir):
     m = _trained(spark, sf_dir)
     return docs(spark, sf_dir).select("doc_id", m.encode(F.col("text")).alias("ids"))
 
@@ -317,15 +394,22 @@ def vocab_coverage(spark, sf_dir):
     return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 
-@query()
+@query(
+    MERGES_SQL
+    + f""", b AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(nfc_normalize(text), '{CODE_RE2}')) AS word FROM benchmark) GROUP BY word),
+u AS (SELECT id, CAST(sum(n) AS BIGINT) AS n FROM b JOIN tk USING (word) GROUP BY id),
+z AS (SELECT CAST(sum(n) AS BIGINT) AS total_tokens, count(*) AS unique_tokens_used, coalesce(sum(n) FILTER (WHERE id = 3), 0) AS unknown FROM u)
+SELECT total_tokens, unique_tokens_used, round(unique_tokens_used / (SELECT count(*) FROM voc), 6) AS vocab_utilization, round(unknown / total_tokens, 6) AS unknown_rate, round(1 - unknown / total_tokens, 6) AS coverage_rate FROM z"""
+)
 def benchmark_coverage(spark, sf_dir):
     """How a tokenizer trained on documents does on texts it wasn't trained on."""
-    return analyze.coverage_table(docs(spark, sf_dir, "benchmark"), _trained(spark, sf_dir))
+    s = analyze.coverage_table(docs(spark, sf_dir, "benchmark"), _few(spark, sf_dir))
+    return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 
-@query(CHARS_SQL + " SELECT ch AS token, CAST(sum(freq) AS BIGINT) AS n FROM ch GROUP BY ch HAVING sum(freq) < 5")
+@query(CHARS_SQL + " SELECT ch AS token, CAST(sum(freq) AS BIGINT) AS n FROM ch GROUP BY ch HAVING sum(freq) < 5000")
 def rare_tokens(spark, sf_dir):
-    return analyze.rare_tokens(docs(spark, sf_dir), _chars(spark, sf_dir))
+    return analyze.rare_tokens(docs(spark, sf_dir), _chars(spark, sf_dir), 5000)
 
 
 @query(
@@ -340,14 +424,19 @@ def analyze_texts(spark, sf_dir):
     return a.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("text_length", "num_tokens", "unique_tokens")], common.alias("common"))
 
 
-@query()
+@query(
+    MERGES_SQL
+    + """, x AS (SELECT sum(length(text)) AS chars FROM documents), t AS (SELECT 'characters' AS tokenizer, sum(freq * length(word)) AS n FROM c UNION ALL SELECT 'pairs', sum(freq) FROM c JOIN tk USING (word))
+SELECT tokenizer, round(chars / n, 6) AS compression_ratio, round(n / chars, 6) AS tokens_per_char, round(chars / n, 6) AS avg_token_length FROM t, x"""
+)
 def compression_by_tokenizer(spark, sf_dir):
-    return analyze.compression(docs(spark, sf_dir), {"characters": _chars(spark, sf_dir), "pairs": _trained(spark, sf_dir)})
+    s = analyze.compression(docs(spark, sf_dir), {"characters": _chars(spark, sf_dir), "pairs": _few(spark, sf_dir)})
+    return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 
-@query()
+@query(MERGES_SQL + "SELECT CAST(id AS INTEGER) AS id, token, CAST(sum(freq) AS BIGINT) AS n FROM c JOIN tk USING (word) GROUP BY ALL")
 def token_usage(spark, sf_dir):
-    m = _trained(spark, sf_dir)
+    m = _few(spark, sf_dir)
     return analyze.named(analyze.token_usage(docs(spark, sf_dir), m), m).select("id", "token", "n")
 
 

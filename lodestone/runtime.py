@@ -51,3 +51,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def col(name: str) -> Column:
     """The top-level column of exactly this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: A side of a join is broadcast only when its counted rows, times the bytes a row takes, stay below this.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_small(df: DataFrame, side: DataFrame, on, how: str, row_bytes: int = 64) -> DataFrame:
+    """Join with a materialised side. It is broadcast when counted to be small; beyond that Spark shuffles both sides by key."""
+    small = side.count() * row_bytes <= BROADCAST_BYTES
+    return df.join(F.broadcast(side) if small else side, on, how)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of files, dealt to all cores if it has fewer tasks than there are. A large table has more, and is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

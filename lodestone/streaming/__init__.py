@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from ..config import PreprocessingConfig
 from ..operators import clean, dedup, quality
 from ..operators.bpe import BpeModel
-from ..runtime import checkpoint
+from ..runtime import checkpoint, fresh
 
 
 def prepare_stream(stream: DataFrame, config: PreprocessingConfig | None = None, text_col: str = "text") -> DataFrame:
     """The stream with cleaned texts, without those that are empty or not of high quality."""
     c = config or PreprocessingConfig(remove_duplicates=False)
     cleaned = stream.where(F.col(text_col) != "").withColumn(text_col, clean.clean(F.col(text_col), c))
-    return cleaned.where((F.col(text_col) != "") & quality.is_high_quality(F.col(text_col), c))
+    (good,) = fresh(cleaned, "good")
+    return quality.judged(cleaned.where(F.col(text_col) != ""), good, c, text_col).where(F.col(good)).drop(good)
 
 
 def encode_stream(stream: DataFrame, model: BpeModel, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -28,8 +29,9 @@ def encode_stream(stream: DataFrame, model: BpeModel, text_col: str = "text", ou
 
 def deduplicate_stream(stream: DataFrame, time_col: str, delay: str, text_col: str = "text") -> DataFrame:
     """Without rows whose normal form came before, within the watermark's delay."""
-    hashed = stream.withColumn("__hash", dedup.text_hash(F.col(text_col)))
-    return hashed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["__hash"]).drop("__hash")
+    (h,) = fresh(stream, "hash")
+    hashed = stream.withColumn(h, dedup.text_hash(F.col(text_col)))
+    return hashed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([h]).drop(h)
 
 
 def windowed_counts(stream: DataFrame, time_col: str, window: str, delay: str, keys: list[str], slide: str | None = None) -> DataFrame:
@@ -63,5 +65,5 @@ class NearDedupSink:
         both = new if old is None else old.select(*new.columns).unionByName(new)
         # Kept rows come first in the order of ids, and are unlike one another: all of them are kept again.
         kept = dedup.near_deduplicate(both, self.threshold, self.id_col, self.text_col)
-        fresh = kept if old is None else kept.join(new.select(self.id_col), self.id_col, "left_semi")
-        fresh.write.mode("overwrite").parquet(f"{self.path}/kept/batch={number}")
+        added = kept if old is None else kept.join(new.select(self.id_col), self.id_col, "left_semi")
+        added.write.mode("overwrite").parquet(f"{self.path}/kept/batch={number}")

@@ -1,5 +1,7 @@
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from lodestone.config import PreprocessingConfig
 from lodestone.operators import dedup
 from lodestone.plans import pipeline
@@ -73,6 +75,27 @@ def test_exact(spark):
     assert sorted(r[0] for r in dedup.deduplicate(df).collect()) == [1, 2, 4]
 
 
+def test_rows_without_id_and_repeated_rows(spark):
+    """No text is lost for want of an id, and of equal rows one stays; a column's name is nobody's business."""
+    rows = [(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (2, "c"), (2, "d"), (3, None), (None, None), (None, BASE), (7, BASE + " a b"), (8, "C  ")]
+    names = ("__key", "__rows", "__best", "__gone", "__row", "__words", "__d", "__first", "__kept", "__s", "stage2", "a.b")
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("own").alias(c) for c in names])
+    of = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+    out = dedup.deduplicate(df)
+    assert out.columns == df.columns
+    assert of(out) == sorted([(1, "a"), (None, "b"), (2, "c"), (2, "d"), (3, None), (None, BASE), (7, BASE + " a b"), (8, "C  ")], key=str)
+    assert of(dedup.first_by_hash(df)) == sorted([(1, "a"), (None, "b"), (2, "c"), (2, "d"), (3, None), (None, BASE), (7, BASE + " a b")], key=str)
+    near = dedup.near_deduplicate(df)
+    assert near.columns == df.columns
+    # The text without id comes last and is compared by its normal form only.
+    assert of(near) == sorted([(1, "a"), (None, "b"), (2, "c"), (2, "d"), (None, BASE), (7, BASE + " a b")], key=str)
+    empty = df.where("false")
+    assert dedup.deduplicate(empty).count() == dedup.near_deduplicate(empty).count() == 0
+    good = "This sentence has quite enough different words to pass every test of quality. And here comes another one!"
+    docs = spark.createDataFrame([(None, good), (1, good), (1, good), (None, good[::-1]), (2, "short"), (None, None)], "doc_id long, text string").withColumn("__row", F.lit(1))
+    assert sorted(((r["doc_id"], r["stage"]) for r in pipeline.flagged(docs).collect()), key=str) == sorted([(None, 3), (1, 5), (1, 3), (None, 5), (2, 1), (None, 0)], key=str)
+
+
 def test_pipeline_counts(spark):
     good = "This sentence has quite enough different words to pass every test of quality. And here comes another one!"
     rows = [(0, None), (1, ""), (2, "\x07\x07"), (3, "too short"), (4, good), (5, good.upper().lower()), (6, good + " Something else follows that makes this one rather different from the others before it.")]

@@ -154,3 +154,29 @@ def test_package():
     assert lodestone.quick_tokenize("Hello hello!", return_tokens=True) == ["Hello", " hello", "!"]
     lodestone.print_info()
     lodestone.setup_logging("WARNING")
+
+
+def test_compressed_files_in_other_encodings(spark, tmp_path):
+    import bz2
+    import gzip
+
+    (tmp_path / "a.txt.gz").write_bytes(gzip.compress("déjà vu\r\n".encode("latin-1")))
+    (tmp_path / "b.txt.bz2").write_bytes(bz2.compress("été".encode("cp1252")))
+    (tmp_path / "c.txt.gz").write_bytes(b"not packed")
+    read = lambda name, enc: [r["text"] for r in readers.read_texts(spark, str(tmp_path / name), enc).collect()]
+    assert read("a.txt.gz", "latin-1") == ["déjà vu\n"] and read("b.txt.bz2", "cp1252") == ["été"] and read("c.txt.gz", "latin-1") == []
+
+
+def test_paths_with_a_scheme(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("one")
+    (tmp_path / "in" / "deep" / "b.jsonl").write_text('{"text": "two"}\n{"text": "three"}\n')
+    uri = f"file://{tmp_path}/in"
+    names = lambda found: [(f.rsplit("/", 1)[1], k) for f, k in found]
+    assert names(readers.resolve([uri], spark=spark)) == [("a.txt", "txt"), ("b.jsonl", "jsonl")]
+    assert names(readers.resolve([f"{uri}/*.txt"], spark=spark)) == names(readers.resolve([f"{uri}/a.txt"], spark=spark)) == [("a.txt", "txt")]
+    assert readers.resolve([f"{uri}/none*"], spark=spark) == []
+    assert [tuple(r) for r in readers.read_input(spark, [uri]).orderBy("doc_id").collect()] == [(0, "one"), (1, "two"), (2, "three")]
+    out = f"file://{tmp_path}/out"
+    cli._emit(spark.createDataFrame([("x",), ("y",)], "value string").coalesce(1), out)
+    assert [r[0] for r in spark.read.text(out).collect()] == ["x", "y"]
