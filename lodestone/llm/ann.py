@@ -1,19 +1,22 @@
 """Nearest neighbours by inner product, with score-aware quantisation.
 
-Vectors fall into cells of a k-means. What remains of a vector after its cell's centre is quantised in SUB-dimensional pieces
+Vectors fall into cells of a two-level k-means. What remains of a vector after its cell's centre is quantised in SUB-dimensional pieces
 of 16 codewords each. Codewords are trained and chosen to minimise the anisotropic loss: the part of the residual error
 that is parallel to the vector, which is what changes large inner products, weighs ``eta`` times the rest. A scan sums, for
-each code, entries of the query's four-bit tables (two at a time, as a byte). The best RERANK of a group of cells are scored exactly, and
-then every vector whose rough score plus |q| times its own quantisation error reaches the k-th of those: none is left out but by bound.
-
-Every row is a query. It is first searched in its own cell, which gives it a bar: its k-th best score so far. Then it goes to
-every cell that could hold a better one, since <q, x> <= <q, centre> + |q| * radius, and to no other, so that cells are left
-out without loss. Cells are handled in groups of about GROUP_ROWS vectors; a query is sent once to a group.
+each code, entries of the query's four-bit tables (two at a time, as a byte). The best RERANK of a cell are scored exactly, and
+then every vector whose rough score plus |q| times its own quantisation error reaches the k-th of those: in the cells that a query
+visits, none is left out but by that bound.
+
+A query visits the cells whose centres score best, as many as it takes: CALIBRATE queries are scored against all vectors, and the
+number of cells is the least that holds the wanted share of their true neighbours. So recall is measured on the very data, by one linear
+scan. Every vector is indexed. A cell beyond group_rows is cut by a hash of the id, and the queries of a cell beyond
+query_rows likewise, so that a hot cell is the work of many tasks.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, col
+from .common import checkpoint, col, join_small
+from .kernels import mix64
 
-#: The least training sample, and the settings of the search.
-TRAIN_ROWS = 20_000
+#: The least training sample; queries that calibrate the search, and the share of their neighbours that it has to find.
+TRAIN_ROWS, CALIBRATE, RECALL = 20_000, 256, 0.95
 K, RERANK, SUB, THRESHOLD, GROUP_ROWS, QUERY_ROWS, QUERY_BLOCK, PAIRS = 10, 128, 2, 0.2, 8192, 65_536, 256, 1 << 16
 RESULT = "q long, x long, score double"
 
@@ -39,13 +43,34 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def training_size(n: int) -> tuple[int, int]:
+def training_size(n: int, least: int = TRAIN_ROWS) -> tuple[int, int]:
     """Vectors to train on and cells, for n vectors: as many cells as the root of n, and eight vectors of the sample for each."""
     cells = round(math.sqrt(n))
-    sample = min(n, max(TRAIN_ROWS, 8 * cells))
+    sample = min(n, max(least, 8 * cells))
     return sample, max(1, min(cells, sample // 8))
 
 
+class Cells:
+    """Centres in two levels: about the root of ``cells`` at the top, and under each its share of them."""
+
+    def __init__(self, x: np.ndarray, cells: int):
+        self.top = kmeans(x, max(1, round(math.sqrt(cells))))
+        own = nearest(x, self.top)
+        under = []
+        for c in range(len(self.top)):
+            mine = x[own == c]
+            under.append(kmeans(mine, max(1, min(len(mine), round(cells * len(mine) / len(x))))) if len(mine) else self.top[c : c + 1])
+        self.first = np.cumsum([0, *map(len, under)])
+        self.centres = np.concatenate(under)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        out, own = np.zeros(len(x), np.int64), nearest(x, self.top)
+        for c in np.unique(own):
+            at = np.flatnonzero(own == c)
+            out[at] = self.first[c] + nearest(x[at], self.centres[self.first[c] : self.first[c + 1]])
+        return out
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres * centres).sum(1) / 2
     return np.concatenate([(x[a : a + 4096] @ centres.T - half).argmax(1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
@@ -168,137 +193,206 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def _cells(table: pa.Table):
-    cell = table.column("cell").to_numpy()
-    order = np.argsort(cell, kind="stable")
-    first = np.flatnonzero(np.append(True, cell[order][1:] != cell[order][:-1])) if len(order) else []
-    for at, end in zip(first, [*first[1:], len(order)]):
-        yield int(cell[order[at]]), order[at:end]
+def cleaned(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v) of the usable rows, one for each id. Only vectors of ids that repeat are shuffled."""
+    bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf")))
+    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
+    rows = rows.where(~F.exists("v", bad))
+    twice = checkpoint(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    return join_small(rows, twice, "id", "left_anti").unionByName(join_small(rows, twice, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v")))
 
 
-def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbour_id, score): for every vector its k largest inner products with others, best first.
+def _exact(q: np.ndarray, q_id: np.ndarray, k: int):
+    """The k best of a task's vectors for each of some queries: (q, x, cell, score)."""
 
-    Scores and the choice of neighbours are exact; of equal scores the lesser id comes first. Rows without id or
-    vector, with a null or NaN or infinity in it, or of other than the usual length (the commonest, the least of those) are
-    left out. Repeated rows are one; of vectors under one id the least counts. A table of fewer than k + 1 vectors gives
-    each all the others; an empty one gives an empty result. Other columns are ignored.
+    def exact(batches):
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * len(q)
+        for batch in batches:
+            x, ids, cell = _matrix(batch.column(1)), batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            scores = np.where(q_id[:, None] == ids[None, :], -np.inf, q @ x.T)
+            for r in range(len(q)):
+                at = np.argpartition(-scores[r], k)[:k] if len(ids) > k else np.arange(len(ids))
+                at = at[scores[r, at] > -np.inf]
+                i, c, v = (np.concatenate(z) for z in zip(best[r], (ids[at], cell[at], scores[r, at])))
+                top = np.lexsort((i, -v))[:k]
+                best[r] = (i[top], c[top], v[top])
+        sizes = [len(b[0]) for b in best]
+        i, c, v = (np.concatenate(z) for z in zip(*best))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, sizes)), pa.array(i), pa.array(c), pa.array(v)], names=["q", "x", "cell", "score"])
+
+    return exact
+
+
+def cells_to_visit(q: np.ndarray, q_id: np.ndarray, truth, centres: np.ndarray, size: np.ndarray, recall: float) -> int:
+    """The least number of best cells that hold that share of the neighbours in ``truth`` (q, cell)."""
+    place = {int(i): r for r, i in enumerate(q_id)}
+    order = np.argsort(-np.where(size > 0, q @ centres.T, -np.inf), axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
+    ranks = np.sort([rank[place[i], c] for i, c in truth])
+    return int(ranks[max(0, math.ceil(recall * len(ranks)) - 1)]) + 1 if len(ranks) else 1
+
+
+def neighbours(
+    vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding",
+    recall: float = RECALL, train_rows: int = TRAIN_ROWS, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS,
+) -> DataFrame:
+    """(vec_id, rank, neighbour_id, score): for each row of ``queries`` (by default of vectors) its k largest inner products, best first.
+
+    Scores are exact; that share ``recall`` of the true neighbours of calibrating queries is found (1.0 visits all cells that hold
+    any). A query isn't its own neighbour: its id is left out. Of equal scores the lesser id comes first. Rows without id or
+    vector, with a null or NaN or infinity in it, or of other than the usual length (the commonest among vectors, the least of
+    those) are left out, the last with a warning that counts them. Repeated rows are one; of vectors under one id the least
+    counts. A table of fewer than k + 1 vectors gives each all the others; an empty one gives an empty result. Ids are whole
+    numbers. Other columns are ignored.
+
+    train_rows is the least size of the sample that centres and codewords are fitted on; eight vectors for each of the sqrt(n)
+    cells are taken if that is more.
     """
-    spark = vectors.sparkSession
-    bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf")))
-    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
-    rows = rows.where(~F.exists("v", bad)).groupBy("id").agg(F.min("v").alias("v"))
-    usual = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if usual is None:
+    rows = cleaned(vectors, id_col, vector_col)
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").collect()
+    if not lengths:
         return rows.select(F.col("id").alias("vec_id"), F.lit(1).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0.0).alias("score")).where("false")
-    dims, n = usual["d"], usual["n"]
+    dims, n = lengths[0]["d"], lengths[0]["n"]
+    if len(lengths) > 1:
+        warnings.warn(f"{sum(x['n'] for x in lengths[1:])} vectors of other lengths than {dims} are left out", stacklevel=2)
     rows = rows.where(F.size("v") == dims)
-    sample_rows, cells = training_size(n)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()
-    learn = _matrix(sample.column(0))
+    sample_rows, cells = training_size(n, train_rows)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
+    learn, learn_id = _matrix(sample.column(1)), sample.column(0).to_numpy()
     weight = eta(dims)
-    centres = kmeans(learn, cells)
-    # Cells in the order of their main axis, so that groups are of like cells.
-    centred = centres - centres.mean(0)
-    centres = centres[np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")]
-    own = nearest(learn, centres)
+    tree = Cells(learn, cells)
+    centres, own = tree.centres, tree.of(learn)
     book = train_book(learn - centres[own], learn, weight)
 
     def assign(batches):
         for batch in batches:
             x = _matrix(batch.column(1))
-            cell = nearest(x, centres)
-            rest = x - centres[cell]
-            codes = encode(rest, x, book, weight)
+            cell = tree.of(x)
+            codes = encode(x - centres[cell], x, book, weight)
             packed = codes[:, 0::2] * 16 + codes[:, 1::2]
             raw = pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * packed.shape[1]).astype(np.int32)), pa.py_buffer(packed.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), pa.array(np.sqrt((rest * rest).sum(1))), pa.array(missing(x, cell, centres, codes, book)), raw], names=["id", "v", "cell", "away", "miss", "codes"])
-
-    coded = checkpoint(rows.mapInArrow(assign, "id long, v array<double>, cell long, away double, miss double, codes binary"))
-    size, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
-    for c, m, r in coded.groupBy("cell").agg(F.count(F.lit(1)), F.max("away")).collect():
-        size[c], radius[c] = m, r
-    # What times |q| bounds <q, x> - <q, centre> in a cell, rounding included.
-    reach = radius + 1e-9 * (radius + np.sqrt((centres * centres).sum(1)))
-    # Groups: runs of cells; a cell beyond GROUP_ROWS has several groups to itself, its vectors dealt by hash.
-    first_group, parts, group, filled = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64), 0, 0
-    for c in range(len(centres)):
-        parts[c] = max(1, -(-size[c] // GROUP_ROWS))
-        if filled and filled + size[c] > GROUP_ROWS:
-            group, filled = group + 1, 0
-        first_group[c] = group
-        if parts[c] > 1:
-            group, filled = group + parts[c], 0
-        else:
-            filled += size[c]
-    place = F.broadcast(spark.createDataFrame([(c, int(first_group[c]), int(parts[c])) for c in range(len(centres))], "cell long, first long, parts long"))
-    data = coded.join(place, "cell").select("id", "v", "cell", "miss", "codes", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("grp"))
-
-    def unpack(column):
-        packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-        return np.ascontiguousarray(packed.T).astype(np.intp)
-
-    def result(q, x, s):
-        return pa.table({"q": pa.array(q), "x": pa.array(x), "score": pa.array(s)})
-
-    def within(table: pa.Table) -> pa.Table:
-        v, ids, miss, codes, found = _matrix(table.column("v")), table.column("id").to_numpy(), table.column("miss").to_numpy(), unpack(table.column("codes")), []
-        for c, cell in _cells(table):
-            for a in range(0, len(cell), QUERY_BLOCK):
-                at = cell[a : a + QUERY_BLOCK]
-                rough = scan(v[at], codes[:, cell], book) + (v[at] @ centres[c]).astype(np.float32)[:, None]
-                row, x, s = best_of(v[at], ids[at], np.full(len(at), -np.inf), rough, miss[cell], v[cell], ids[cell], k)
-                found.append((ids[at][row], x, s))
-        return result(*(np.concatenate(p) for p in zip(*found)))
-
-    near = checkpoint(data.groupBy("grp").applyInArrow(within, RESULT))
-    bars = near.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bar"))
-    queries = coded.select("id", "v", "cell").join(bars, F.col("id") == F.col("q"), "left").select("id", "v", "cell", F.when(F.col("n") >= k, F.col("bar")).otherwise(F.lit(float("-inf"))).alias("bar"))
-    chunks = max(1, -(-n // QUERY_ROWS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), pa.array(missing(x, cell, centres, codes, book)), raw], names=["id", "v", "cell", "miss", "codes"])
+
+    coded = checkpoint(rows.mapInArrow(assign, "id long, v array<double>, cell long, miss double, codes binary"))
+    asked = coded.select("id", "v") if queries is None else cleaned(queries, id_col, vector_col).where(F.size("v") == dims)
+    # Each of these has a row for each cell, about sqrt(n).
+    size, wanted = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
+    for c, m in coded.groupBy("cell").agg(F.count(F.lit(1))).collect():
+        size[c] = m
+    some = asked.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATE).toArrow()
+    if not some.num_rows:
+        return rows.select(F.col("id").alias("vec_id"), F.lit(1).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0.0).alias("score")).where("false")
+    some_v, some_id = _matrix(some.column(1)), some.column(0).to_numpy()
+    first = Window.partitionBy("q").orderBy(F.desc("score"), "x")
+    truth = coded.select("id", "v", "cell").mapInArrow(_exact(some_v, some_id, k), "q long, x long, cell long, score double").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+    visits = cells_to_visit(some_v, some_id, [(r["q"], r["cell"]) for r in truth.select("q", "cell").collect()], centres, size, recall)
+    # Vectors of the sample give a query neighbours to begin with, and so a bar that those in the cells must reach.
+    known, known_id = learn[:TRAIN_ROWS], learn_id[:TRAIN_ROWS]
+
+    def of_known(q: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, place among the known, score) of each query's k best there."""
+        scores = np.where(ids[:, None] == known_id[None, :], -np.inf, q @ known.T)
+        top = np.argpartition(-scores, k - 1, axis=1)[:, :k] if len(known) > k else np.broadcast_to(np.arange(len(known)), scores.shape)
+        row, place = np.nonzero(np.take_along_axis(scores, top, 1) > -np.inf)
+        return row, top[row, place], pair_scores(q, known, row, top[row, place])
+
+    def begin(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                batch = whole.slice(a, 512)
+                ids = batch.column(0).to_numpy()
+                row, at, score = of_known(_matrix(batch.column(1)), ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(known_id[at]), pa.array(score)], names=["q", "x", "score"])
+
+    def cells_of(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query row, cell) of the cells to visit: the best ``visits``, and more if those hold no k + 1 vectors."""
+        order = np.argsort(-np.where(size > 0, q @ centres.T, -np.inf), axis=1, kind="stable")
+        enough = np.maximum(visits, (np.cumsum(size[order], axis=1) < min(k + 1, n)).sum(1) + 1)
+        use = (np.arange(order.shape[1])[None, :] < enough[:, None]) & (size[order] > 0)
+        row, place = np.nonzero(use)
+        return row, order[row, place]
+
+    def count(batches):
+        total = np.zeros(len(centres), np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                total += np.bincount(cells_of(_matrix(batch.column(0).slice(a, 1024)))[1], minlength=len(centres))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["cell", "n"])
+
+    for c, m in asked.select("v").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        wanted[c] = m
+    # A cell's vectors are in parts, its queries in chunks; each part meets each chunk at a place.
+    parts, chunks = -(-size // group_rows), -(-wanted // query_rows)
+    at_place = np.cumsum(np.append(0, parts * chunks))
+
+    def spread(cell: np.ndarray, mine: np.ndarray, stride: np.ndarray, copies: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place): a row's own part or chunk, with each of the other kind."""
+        row = np.repeat(np.arange(len(cell)), copies)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+        return row, at_place[cell[row]] + (mine * stride)[row] + other * step[row]
+
+    def share(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (mix64(ids.astype(np.uint64)) % np.maximum(n, 1).astype(np.uint64)).astype(np.int64)
+
+    def emit(batch, row, place, kind, bar, miss, codes):
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(place), pa.array(np.full(len(row), kind, np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(bar[row]), pa.array(miss[row]), codes.take(take)],
+            names=["place", "kind", "id", "v", "bar", "miss", "codes"],
+        )
+
+    def lay(batches):
+        for batch in batches:
+            ids, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            row, place = spread(cell, share(ids, parts[cell]), chunks[cell], chunks[cell], np.ones(len(cell), np.int64))
+            yield emit(batch, row, place, 0, np.zeros(len(ids)), batch.column(3).to_numpy(), batch.column(4))
 
     def send(batches):
         for whole in batches:
-            for a in range(0, whole.num_rows, 1024):
-                batch = whole.slice(a, 1024)
-                q, home, bar = _matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                bound = q @ centres.T + np.sqrt((q * q).sum(1))[:, None] * reach[None, :]
-                want = (bound >= bar[:, None]) & (size > 0)[None, :]
-                # Its own cell has been searched, unless that cell is in parts.
-                want[np.arange(len(q)), home] &= parts[home] > 1
-                row, cell = np.nonzero(want)
-                count = parts[cell]
-                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                pair = np.unique(np.stack([np.repeat(row, count), np.repeat(first_group[cell], count) + step], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1]), *(batch.column(c).take(pa.array(pair[:, 0])) for c in range(4))], names=["grp", "id", "v", "cell", "bar"])
-
-    sent = queries.mapInArrow(send, "grp long, id long, v array<double>, cell long, bar double").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    copies = data.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-
-    def across(base: pa.Table, asked: pa.Table) -> pa.Table:
-        none = np.zeros(0, np.int64)
-        if not base.num_rows or not asked.num_rows:
-            return result(none, none, np.zeros(0))
-        v, ids, miss, codes = _matrix(base.column("v")), base.column("id").to_numpy(), base.column("miss").to_numpy(), unpack(base.column("codes"))
-        q, q_id, home, bar = _matrix(asked.column("v")), asked.column("id").to_numpy(), asked.column("cell").to_numpy(), asked.column("bar").to_numpy()
-        found, cells = [(none, none, np.zeros(0))], list(_cells(base))
-        numbers = np.array([c for c, _ in cells])
-        by_home = np.argsort(home, kind="stable")
-        for a in range(0, len(q), QUERY_BLOCK):
-            at = by_home[a : a + QUERY_BLOCK]
-            near_by = q[at] @ centres[numbers].T
-            bound = near_by + np.sqrt((q[at] * q[at]).sum(1))[:, None] * reach[numbers]
-            want = (bound >= bar[at, None]) & ((home[at, None] != numbers) | (parts[numbers] > 1))
-            use = np.flatnonzero(want.any(0))
-            if not len(use):
+            for a in range(0, whole.num_rows, 512):
+                batch = whole.slice(a, 512)
+                ids, q = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                row, _, score = of_known(q, ids)
+                bar = np.full(len(q), np.inf)
+                np.minimum.at(bar, row, score)
+                bar[np.bincount(row, minlength=len(q)) < k] = -np.inf
+                row, cell = cells_of(q)
+                part_of, place = spread(cell, share(ids[row], chunks[cell]), np.ones(len(cell), np.int64), parts[cell], chunks[cell])
+                yield emit(batch, row[part_of], place, 1, bar, np.zeros(len(ids)), pa.nulls(len(ids), pa.binary()))
+
+    fields = "place long, kind int, id long, v array<double>, bar double, miss double, codes binary"
+    met = coded.mapInArrow(lay, fields).union(asked.mapInArrow(send, fields)).repartition("place").sortWithinPartitions("place", "kind")
+
+    def search(batches):
+        now, held, base = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            members, counts = np.concatenate([cells[c][1] for c in use]), [len(cells[c][1]) for c in use]
-            rough = scan(q[at], codes[:, members], book)
-            rough += np.repeat(np.where(want, near_by, -np.inf)[:, use].astype(np.float32), counts, axis=1)
-            row, x, s = best_of(q[at], q_id[at], bar[at], rough, miss[members], v[members], ids[members], k)
-            found.append((q_id[at][row], x, s))
-        return result(*(np.concatenate(p) for p in zip(*found)))
-
-    far = copies.groupBy("grp", "chunk").cogroup(sent.groupBy("grp", "chunk")).applyInArrow(across, RESULT)
-    every = near.union(far).distinct()
+            place, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (kind[1:] != kind[:-1])))
+            for i, j in zip(edge, [*edge[1:], len(place)]):
+                if place[i] != now:
+                    now, held, base = place[i], [], None
+                if kind[i] == 0:
+                    held.append(batch.slice(i, j - i))
+                    continue
+                if not held:
+                    continue  # its hash gave this part no vector
+                if base is None:
+                    table = pa.Table.from_batches(held)
+                    packed = table.column(6).combine_chunks()
+                    raw = np.frombuffer(packed.buffers()[2], np.uint8)[: len(packed) * -(-dims // (2 * SUB))] if packed.offset == 0 else np.frombuffer(b"".join(packed.to_pylist()), np.uint8)
+                    base = _matrix(table.column(3)), table.column(2).to_numpy(), table.column(5).to_numpy(), np.ascontiguousarray(raw.reshape(len(packed), -1).T).astype(np.intp)
+                x, x_id, miss, codes = base
+                centre = centres[np.searchsorted(at_place, now, "right") - 1]
+                for a in range(i, j, QUERY_BLOCK):
+                    some = batch.slice(a, min(QUERY_BLOCK, j - a))
+                    q, q_id, bar = _matrix(some.column(3)), some.column(2).to_numpy(), some.column(4).to_numpy()
+                    rough = scan(q, codes, book) + (q @ centre).astype(np.float32)[:, None]
+                    row, found, score = best_of(q, q_id, bar, rough, miss, x, x_id, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_id[row]), pa.array(found), pa.array(score)], names=["q", "x", "score"])
+
+    every = met.mapInArrow(search, RESULT).union(asked.mapInArrow(begin, RESULT)).distinct()
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "x"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("vec_id"), "rank", F.col("x").alias("neighbour_id"), "score")
