@@ -6,19 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import checkpoint, col, fresh, run_path, shared_dir
+from ..runtime import checkpoint, col, fresh, join_small, run_path, shared_dir
 
 __all__ = ["checkpoint", "col", "fresh", "join_small", "ordered_sums", "run_path", "shared_dir"]
 
-#: A side of a join is broadcast only when its counted rows, times the bytes a row takes, stay below this.
-BROADCAST_BYTES = 32 << 20
-
-
-def join_small(df: DataFrame, side: DataFrame, on, how: str, row_bytes: int = 64) -> DataFrame:
-    """Join with a materialised side. It is broadcast when counted to be small; beyond that Spark shuffles both sides by key."""
-    small = side.count() * row_bytes <= BROADCAST_BYTES
-    return df.join(F.broadcast(side) if small else side, on, how)
-
 
 def ordered_sums(df: DataFrame, order: list[str], value: str, out: str, group: str | None = None) -> DataFrame:
     """Running sums of an integer column in a total order, over any number of partitions.

@@ -1,6 +1,6 @@
 """Exact deduplication against a persistent digest index, bucketed and sorted by digest.
 
-The index is a Parquet table of (digest, doc_id), clustered into BUCKETS buckets and sorted by digest within each. New
+The index is a Parquet table of (digest, doc_id), clustered into buckets by digest and sorted within each. New
 data is reduced to its own digests (with map-side combining, so a thousand copies leave a task as one row), anti-joined
 by sort-merge with the index, whose bucketing saves it the shuffle, and what is left is appended. Texts never move:
 only 32-byte digests and ids are shuffled.
@@ -9,13 +9,15 @@ only 32-byte digests and ids are shuffled.
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, col, fresh, join_small, run_path
 
-BUCKETS = 64
+#: Least number of buckets, and digests in a bucket beyond which a compaction doubles them.
+BUCKETS, BUCKET_ROWS = 64, 20_000_000
 
 
 def digest(text: Column) -> Column:
@@ -24,15 +26,36 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """The table at ``path``, in any file system that Spark reads. It outlives the session; open it again by its path."""
+    """The table at ``path``, in any file system that Spark reads. It outlives the session; open it again by its path.
+
+    Appends add sorted files to the buckets. ``compact`` makes one sorted file of each again, in twice the buckets, and so on, if one
+    would hold more than BUCKET_ROWS digests; after it a scan is in order and the merge needs no sort of the index.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = "digest_index_" + hashlib.md5(path.encode()).hexdigest()
-        if not spark.catalog.tableExists(self.name):
-            spark.sql(
+        self.spark, self.path, self.least = spark, path.rstrip("/"), buckets
+        self._open(self._versions()[-1] if self._versions() else (0, buckets))
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _versions(self) -> list[tuple[int, int]]:
+        """(version, buckets) of the complete tables under the path. The first may still be empty."""
+        fs, p = self._fs(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        found = sorted(tuple(map(int, n[1:].split("x"))) for n in names if re.fullmatch(r"v[0-9]+x[0-9]+", n))
+        has = lambda v, b: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}x{b}/_SUCCESS"))
+        return [x for x in found if x[0] == 0 or has(*x)]
+
+    def _open(self, version: tuple[int, int]) -> None:
+        self.version, self.buckets = version
+        self.place = f"{self.path}/v{self.version}x{self.buckets}"
+        self.name = "digest_index_" + hashlib.md5(self.place.encode()).hexdigest()
+        if not self.spark.catalog.tableExists(self.name):
+            self.spark.sql(
                 f"CREATE TABLE {self.name} (digest BINARY, doc_id BIGINT) USING parquet "
-                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.place}'"
             )
 
     def table(self) -> DataFrame:
@@ -43,11 +66,34 @@ class DigestIndex:
         """The rows of ``digests`` whose digest isn't in the index."""
         return digests.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, digests: DataFrame) -> None:
-        """Add (digest, doc_id) rows. Appending rows again adds nothing: they are anti-joined first."""
-        rows = self.novel(digests.select("digest", "doc_id")).repartition(self.buckets, "digest")
+    def _add(self, rows: DataFrame) -> None:
+        rows = rows.select("digest", "doc_id").repartition(self.buckets, "digest")
         rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
+    def append(self, digests: DataFrame, novel: bool = False) -> None:
+        """Add (digest, doc_id) rows. Appending rows again adds nothing: they are anti-joined first, unless they are known to be novel."""
+        self._add(digests if novel else self.novel(digests))
+
+    def compact(self, bucket_rows: int = BUCKET_ROWS) -> None:
+        """Rewrite the index with one sorted file a bucket; the old version goes once the new one is complete."""
+        rows, buckets, old = self.table(), self.buckets, (self.name, self.place)
+        n = rows.count()
+        while n > buckets * bucket_rows:
+            buckets *= 2
+        kept = checkpoint(rows)
+        self._open((self.version + 1, buckets))
+        self._add(kept)
+        self._drop(*old)
+
+    def _drop(self, name: str, place: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        fs, p = self._fs(place)
+        fs.delete(p, True)
+
+    def delete(self) -> None:
+        """Remove the index."""
+        self._drop(self.name, self.path)
+
 
 def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(digest, doc_id, n_copies): each distinct text, its least doc_id (null if none has one) and how many rows hold it."""
@@ -62,7 +108,7 @@ def ingest(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
     are null texts (digest ''). Ties and repeated rows are one text. Other columns are ignored; an empty table adds nothing.
     """
     new = checkpoint(index.novel(firsts(docs, id_col, text_col)))
-    index.append(new)
+    index.append(new, novel=True)
     return new.select("doc_id", F.lower(F.hex("digest")).alias("digest"), "n_copies")
 
 
@@ -77,7 +123,7 @@ def drop_exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "do
     counts = firsts(docs, id_col, text_col)
     known = index.table().select("digest", F.lit(True).alias("known"))
     counts = checkpoint(counts.join(known.hint("merge"), "digest", "left").select("digest", "doc_id", "n_copies", F.coalesce("known", F.lit(False)).alias("known")))
-    index.append(counts.where("not known"))
+    index.append(counts.where("not known"), novel=True)
     # Digests of which some row goes.
     touched = checkpoint(counts.where("known or n_copies > 1").select(F.col("digest").alias(d), F.col("known").alias(n)))
     rows = docs.withColumn(d, digest(col(text_col)))

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, chat, exactdedup, langid, mixing, packing, ppm, sharding, simhash, tokencount
-from .common import run_path
+from .common import checkpoint, run_path
+
+
+#: So small that the tables given here split: 64 MB is the default.
+SHARD_BYTES = 128 << 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +22,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"))
+    return sharding.shard(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +30,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+    """The vectors whose id is divisible by 100 against all."""
+    table = _table(spark, sf_dir, "embeddings")
+    return ann.neighbours(table, table.where("vec_id % 100 = 0"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +48,25 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, then a second look at them in which those of one half are revised and the others deleted and brought back."""
     store = tokencount.Rollups(spark, run_path(spark, "tokens"))
     store.commit("documents", tokencount.inserts(tokencount.count_tokens(_table(spark, sf_dir, "documents"))))
+    known = checkpoint(store.current())
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    store.commit("again", tokencount.inserts(known.where(half), "revise").unionByName(tokencount.inserts(known.where(~half), "delete")))
+    back = tokencount.inserts(known.where(~half))
+    store.commit("back", back)
+    store.commit("back", back)  # nothing: it counts already
     return store.totals()
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exactdedup.ingest(_table(spark, sf_dir, "documents"), exactdedup.fresh_index(spark))
+    """Documents of even ids, then all of them, then all again, into one index: what each batch adds."""
+    documents, index = _table(spark, sf_dir, "documents"), exactdedup.fresh_index(spark)
+    batches = [documents.where("doc_id % 2 = 0"), documents, documents]
+    added = [exactdedup.ingest(b, index).withColumn("batch", F.lit(k)) for k, b in enumerate(batches)]
+    index.delete()
+    return added[0].union(added[1]).union(added[2])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +87,7 @@ levels AS (
   FROM docs CROSS JOIN range(0, 61) r(d)),
 fits AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM levels
-  WHERE shard_bytes <= {sharding.SHARD_BYTES} OR depth = 60)
+  WHERE shard_bytes <= {SHARD_BYTES} OR depth = 60)
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), depth) END AS shard, depth, shard_bytes
 FROM fits WHERE k = 1
 """
@@ -83,8 +102,11 @@ GROUP BY conv_id
 """
 
 _EXACT = """
-SELECT min(doc_id) AS doc_id, CASE WHEN text IS NULL THEN '' ELSE sha256(text) END AS digest, CAST(count(*) AS BIGINT) AS n_copies
-FROM documents GROUP BY text
+WITH first AS (SELECT min(doc_id) AS doc_id, text, CAST(count(*) AS BIGINT) AS n_copies FROM documents WHERE doc_id % 2 = 0 GROUP BY text),
+every AS (SELECT min(doc_id) AS doc_id, text, CAST(count(*) AS BIGINT) AS n_copies FROM documents GROUP BY text),
+added AS (SELECT *, 0 AS batch FROM first UNION ALL
+  SELECT *, 1 AS batch FROM every e WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.text IS NOT DISTINCT FROM e.text))
+SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE sha256(text) END AS digest, n_copies, batch FROM added
 """
 
 

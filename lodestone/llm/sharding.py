@@ -8,10 +8,12 @@ still too large, tell the driver where to split: it sees sums of prefixes, about
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col, join_small
+from .common import checkpoint, col, fresh
 
 SHARD_BYTES = 64 << 20
 HASH_BITS, STEP = 60, 4
@@ -60,42 +62,71 @@ def split(sizes: DataFrame, shard_bytes: int) -> list[tuple[int, int, int, int]]
     return leaves
 
 
+def look_up(rows: DataFrame, h: str, leaves: list[tuple[int, int, int, int]], shard: str, depth: str, total: str) -> DataFrame:
+    """rows with their shard, its depth and its bytes in columns of those names. ``h`` is the column of the hash, and goes.
+
+    The directory has an entry for each prefix of as many bits as the deepest bucket has. A few deep buckets would blow it up: then the
+    hashes at which buckets begin are searched instead. Either is a few numbers a shard, and travels with the tasks; rows stay where they are.
+    """
+    kept = [col(c) for c in rows.columns if c != h]
+    if not leaves:
+        return rows.select(*kept, F.lit("").alias(shard), F.lit(0).alias(depth), F.lit(0).cast("long").alias(total))
+    made = sorted((p << (HASH_BITS - d), d, b) for p, d, b, _ in leaves)
+    begins, depths, sizes = (np.array(x, np.int64) for x in zip(*made))
+    deepest = int(depths.max())
+    directory = np.searchsorted(begins, np.arange(1 << deepest, dtype=np.int64) << (HASH_BITS - deepest), "right") - 1 if 1 << deepest <= 4 * len(leaves) else None
+
+    def find(hashes: pa.Array) -> pa.Array:
+        own = hashes.to_numpy(zero_copy_only=False)
+        leaf = np.searchsorted(begins, own, "right") - 1 if directory is None else directory[own >> (HASH_BITS - deepest)]
+        return pa.StructArray.from_arrays([pa.array(depths[leaf].astype(np.int32)), pa.array(sizes[leaf])], ["depth", "bytes"])
+
+    (found,) = fresh(rows, "found")
+    placed = rows.withColumn(found, F.arrow_udf(find, "depth int, bytes long")(col(h)))
+    d = col(found)["depth"]
+    prefix = F.expr(f"shiftright(`{h}`, {HASH_BITS} - `{found}`.depth)")
+    name = F.when(d == 0, F.lit("")).otherwise(F.lpad(F.conv(prefix.cast("string"), 10, 2), d, F.lit("0")))
+    return placed.select(*kept, name.alias(shard), d.alias(depth), col(found)["bytes"].alias(total))
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A row's key as it is hashed, and its size."""
+    return _hash(col(id_col).cast("long")), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long")
+
+
+def _leaves(rows: DataFrame, h: Column, size: Column, shard_bytes: int) -> list[tuple[int, int, int, int]]:
+    if shard_bytes < 1:
+        raise ValueError("shard_bytes must be positive")
+    sizes = rows.groupBy(h.alias("h")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    return [x for x in split(checkpoint(sizes), shard_bytes) if x[3]]
+
+
 def shard(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, shard, depth, shard_bytes) for every row: shard is the hash prefix, as a string of depth bits.
 
     n_bytes is the text's UTF-8 length, 0 if null. Rows with the same doc_id, or with none, always share a shard. A
     bucket that no bit divides (one document over the limit, or rows repeated under one doc_id) ends at 60 bits, over the
-    limit, and shard_bytes shows it. A bucket left empty by a split has no rows. Other columns are ignored; an empty table
-    gives an empty result.
+    limit, and shard_bytes shows it. A bucket left empty by a split has no rows. Ids are whole numbers. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    if shard_bytes < 1:
-        raise ValueError("shard_bytes must be positive")
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long").alias("n_bytes")).withColumn("h", _hash(F.col("doc_id")))
-    rows = checkpoint(rows)
-    sizes = rows.groupBy("h").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    leaves = [x for x in split(sizes, shard_bytes) if x[3]]
-    if not leaves:
-        return rows.select("doc_id", "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"))
-    depth = max(d for _, d, _, _ in leaves)
-    spark = docs.sparkSession
-    buckets = spark.createDataFrame([(p, d, b) for p, d, b, _ in leaves], "prefix long, depth int, shard_bytes long")
-    depths = sorted({d for _, d, _, _ in leaves})
-    if 1 << depth <= 16 * len(leaves):
-        # The directory proper: an entry for each prefix of ``depth`` bits names its bucket.
-        span = F.pow(F.lit(2), F.lit(depth) - F.col("depth")).cast("long")
-        entries = buckets.select("*", F.explode(F.sequence(F.col("prefix") * span, (F.col("prefix") + 1) * span - 1)).alias("entry"))
-        found = join_small(rows.withColumn("entry", F.shiftright("h", HASH_BITS - depth)), entries, "entry", "inner")
-    else:
-        # A few deep buckets would blow it up: look up each depth in use instead.
-        probe = rows.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths])))
-        probe = probe.withColumn("prefix", F.expr(f"shiftright(h, {HASH_BITS} - depth)"))
-        found = join_small(probe, buckets, ["prefix", "depth"], "inner")
-    name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(conv(prefix, 10, 2), depth, '0')"))
-    return found.select("doc_id", "n_bytes", name.alias("shard"), "depth", "shard_bytes")
-
-
-def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs under ``path``, one folder for each shard. ``shard`` must not be a column of docs."""
-    where = shard(docs, shard_bytes, id_col, text_col).select(F.col("doc_id").alias("__id"), "shard").distinct()
-    placed = docs.join(where, col(id_col).cast("long").eqNullSafe(F.col("__id"))).drop("__id")
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    h, size = _measured(docs, id_col, text_col)
+    rows = checkpoint(docs.select(col(id_col).cast("long").alias("doc_id"), size.alias("n_bytes"), h.alias("h")))
+    return look_up(rows, "h", _leaves(rows, F.col("h"), F.col("n_bytes"), shard_bytes), "shard", "depth", "shard_bytes")
+
+
+def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> None:
+    """Write docs under ``path``, all rows and columns as they are, in a folder shard_col=PREFIX for each shard (of no bits: the default name).
+
+    Null, empty and long texts, nulls in ids and repeated rows go as in :func:`shard`. A column of docs called shard_col raises
+    ValueError, as the folders need the name. An empty table writes no shard. The texts are shuffled once, straight to
+    their shard.
+    """
+    if shard_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {shard_col} already: choose another shard_col")
+    key, depth, total = fresh(docs, "hash", "depth", "total")
+    h, size = _measured(docs, id_col, text_col)
+    leaves = _leaves(docs, h, size, shard_bytes)
+    placed = look_up(docs.withColumn(key, h), key, leaves, shard_col, depth, total).drop(depth, total)
+    # Shards are of one size at most: as many tasks as there are shards get about one each.
+    parts = max(len(leaves), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed.repartition(parts, col(shard_col)).write.partitionBy(shard_col).parquet(path)
