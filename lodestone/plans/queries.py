@@ -456,11 +456,23 @@ def conversation_layout(spark, sf_dir):
     return laid.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role_token"], m["content"])), "<|turn|>").alias("laid_out"), F.size("messages").cast("long").alias("n_turns"))
 
 
-@query()
+CHATS = chat_config(0).with_(regex_pattern=CODE_PATTERN, min_frequency=1)
+_SPECIALS = list(CHATS.special_tokens)
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, {_ROLE} AS token, row_number() OVER () AS r, regexp_extract_all(array_to_string(regexp_extract_all(nfc_normalize(coalesce(text, '')), '{CODE_RE2}'), ''), '(?s).') AS cs FROM conversations),
+v AS (SELECT ch, {len(_SPECIALS) - 1} + row_number() OVER (ORDER BY encode(ch)) AS id FROM (SELECT DISTINCT unnest(cs) AS ch FROM t)),
+sp AS (SELECT unnest({_SPECIALS}) AS token, unnest(range({len(_SPECIALS)})) AS id),
+m AS (SELECT r, string_agg(CAST(v.id AS VARCHAR), ' ' ORDER BY i) AS ids FROM (SELECT r, unnest(cs) AS ch, generate_subscripts(cs, 1) AS i FROM t) u JOIN v USING (ch) GROUP BY r)
+SELECT conv_id, '{_SPECIALS.index("<|startoftext|>")} ' || string_agg(concat_ws(' ', sp.id, m.ids, {_SPECIALS.index("<|turn|>")}), ' ' ORDER BY turn, t.token) AS ids
+FROM t JOIN sp ON t.token = sp.token LEFT JOIN m ON t.r = m.r GROUP BY conv_id"""
+)
 def encode_conversations(spark, sf_dir):
     turns = docs(spark, sf_dir, "conversations")
     numbered = turns.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), "text")
-    return conversation.encode_conversations(turns, train(numbered, chat_config(2000)))
+    coded = conversation.encode_conversations(turns, train(numbered, CHATS))
+    return coded.select("conv_id", writers.as_ids(F.col("ids")).alias("ids"))
 
 
 # -- the catalog

@@ -30,6 +30,12 @@ def run_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any file system of Spark's, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage, in the shared folder, so that it outlives any executor."""
     shared_dir(df.sparkSession)
