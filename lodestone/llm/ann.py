@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, col, join_small
+from .common import checkpoint, col, join_small, whole_id
 from .kernels import mix64
 
 #: The least training sample; queries that calibrate the search, and the share of their neighbours that it has to find.
@@ -196,7 +196,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def cleaned(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the usable rows, one for each id. Only vectors of ids that repeat are shuffled."""
     bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf")))
-    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
+    rows = vectors.select(whole_id(vectors, id_col).alias("id"), col(vector_col).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
     rows = rows.where(~F.exists("v", bad))
     twice = checkpoint(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
     return join_small(rows, twice, "id", "left_anti").unionByName(join_small(rows, twice, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v")))

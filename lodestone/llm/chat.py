@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, whole_id
 from .kernels import utf8
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -99,7 +99,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """
     role = F.lower(F.trim(col(role_col)))
     rows = turns.select(
-        col(conv_col).cast("long").alias("conv_id"), col(turn_col).cast("long").alias("turn"),
+        whole_id(turns, conv_col).alias("conv_id"), col(turn_col).cast("long").alias("turn"),
         F.when(role.isin(*ROLES), role).otherwise(F.lit("user")).alias("role"),
         F.replace(F.coalesce(col(text_col), F.lit("")), F.lit("<|im_"), F.lit("<|_im_")).alias("text"),
     )

@@ -14,9 +14,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col, fresh, join_small, run_path
+from .common import checkpoint, col, fresh, join_small, run_path, whole_id
 
-#: Least number of buckets, and digests in a bucket beyond which a compaction doubles them.
+#: Buckets to begin with, and digests in a bucket beyond which they double.
 BUCKETS, BUCKET_ROWS = 64, 20_000_000
 
 
@@ -28,12 +28,12 @@ def digest(text: Column) -> Column:
 class DigestIndex:
     """The table at ``path``, in any file system that Spark reads. It outlives the session; open it again by its path.
 
-    Appends add sorted files to the buckets. ``compact`` makes one sorted file of each again, in twice the buckets, and so on, if one
-    would hold more than BUCKET_ROWS digests; after it a scan is in order and the merge needs no sort of the index.
+    Appends add sorted files to the buckets. ``compact`` makes one sorted file of each again. Buckets double, and double again, before
+    one would hold more than bucket_rows digests.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.least = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.path, self.bucket_rows = spark, path.rstrip("/"), bucket_rows
         self._open(self._versions()[-1] if self._versions() else (0, buckets))
 
     def _fs(self, path: str):
@@ -71,14 +71,21 @@ class DigestIndex:
         rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def append(self, digests: DataFrame, novel: bool = False) -> None:
-        """Add (digest, doc_id) rows. Appending rows again adds nothing: they are anti-joined first, unless they are known to be novel."""
-        self._add(digests if novel else self.novel(digests))
+        """Add (digest, doc_id) rows. Appending rows again adds nothing: they are anti-joined first, unless they are known to be novel.
 
-    def compact(self, bucket_rows: int = BUCKET_ROWS) -> None:
-        """Rewrite the index with one sorted file a bucket; the old version goes once the new one is complete."""
-        rows, buckets, old = self.table(), self.buckets, (self.name, self.place)
+        ``digests``, if novel, should be materialised: they are counted, and more than the buckets are for makes more buckets first.
+        """
+        rows = digests if novel else checkpoint(self.novel(digests))
         n = rows.count()
-        while n > buckets * bucket_rows:
+        if self.table().count() + n > self.buckets * self.bucket_rows:
+            self.compact(n)
+        self._add(rows)
+
+    def compact(self, coming: int = 0) -> None:
+        """Rewrite the index with one sorted file a bucket, in buckets enough for ``coming`` rows more; the old version goes once the new one is complete."""
+        rows, buckets, old = self.table(), self.buckets, (self.name, self.place)
+        n = rows.count() + coming
+        while n > buckets * self.bucket_rows:
             buckets *= 2
         kept = checkpoint(rows)
         self._open((self.version + 1, buckets))
@@ -97,7 +104,7 @@ class DigestIndex:
 
 def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(digest, doc_id, n_copies): each distinct text, its least doc_id (null if none has one) and how many rows hold it."""
-    rows = docs.select(digest(col(text_col)).alias("digest"), col(id_col).cast("long").alias("doc_id"))
+    rows = docs.select(digest(col(text_col)).alias("digest"), whole_id(docs, id_col).alias("doc_id"))
     return rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
 
 

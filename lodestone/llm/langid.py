@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, col, fresh, join_small
+from .common import checkpoint, col, fresh, join_small, whole_id
 
 #: The bounds of the training sample, parameters of every function here: texts of each language and fold (in the mean), bytes of each
 #: dictionary. A text gives it a PIECES-th part of a dictionary at most.
@@ -69,7 +69,7 @@ def train(
     """
     rank, order = fresh(docs, "rank", "order")
     labelled = docs.where(col(lang_col).isNotNull() & col(text_col).isNotNull() & col(id_col).isNotNull())
-    ids = labelled.select(col(lang_col).alias("l"), col(id_col).cast("long").alias("i"), F.xxhash64(col(id_col)).alias(order)).distinct()
+    ids = labelled.select(col(lang_col).alias("l"), whole_id(docs, id_col).alias("i"), F.xxhash64(col(id_col)).alias(order)).distinct()
     ids = ids.withColumn(rank, F.row_number().over(Window.partitionBy("l").orderBy(order, "i"))).where(F.col(rank) <= 2 * sample_docs)
     ids = checkpoint(ids.select("l", "i", order))
     if (n := ids.select("l").distinct().count()) > max_languages:
@@ -79,7 +79,7 @@ def train(
     def pieces(texts: pa.Array) -> pa.Array:
         return pa.array([piece(fold(t.encode()), limit) for t in texts.to_pylist()], pa.binary())
 
-    texts = labelled.select(col(lang_col).alias("l"), col(id_col).cast("long").alias("i"), col(text_col).alias("t"))
+    texts = labelled.select(col(lang_col).alias("l"), whole_id(docs, id_col).alias("i"), col(text_col).alias("t"))
     # ids has 2 * sample_docs rows for each language, and the pieces are of a bounded size.
     picked = join_small(texts, ids, ["l", "i"], "inner").select("l", order, "i", fold_of(F.col("t")).alias("f"), F.arrow_udf(pieces, "binary")(F.lower("t")).alias("p"))
     dicts: tuple[Dictionaries, Dictionaries] = ({}, {})
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id
     repeated rows are classified each time. Ids are whole numbers. Other columns are ignored; an empty table gives an empty result.
     """
     dicts = train(docs, text_col, lang_col, id_col, sample_docs, dict_bytes)
-    narrow = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+    narrow = docs.select(whole_id(docs, id_col).alias("doc_id"), col(text_col).alias("text"))
     return with_language(narrow, "r", dicts, "text", min_margin).select("doc_id", "r.*")
 
 

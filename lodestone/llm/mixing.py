@@ -13,11 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col, fresh, join_small, ordered_sums
+from .common import checkpoint, col, fresh, join_small, ordered_sums, whole_id
 
-#: Share of all tokens that a mix takes, and weights of sources; a source that isn't named has weight 1.
+#: Share of all tokens that a mix takes.
 BUDGET_FRACTION = 0.8
-WEIGHTS = {"src0": 2.0}
 
 
 def word_count(text: Column) -> Column:
@@ -34,7 +33,7 @@ def fair_order(docs: DataFrame, weights: dict[str, float], seed: str, id_col: st
     """(source, place, doc_id, n_rows, n_tokens, finish, mixed_tokens) of every document, mixed_tokens being the running total."""
     if any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
-    narrow = docs.select(col(source_col).alias("source"), col(id_col).cast("long").alias("doc_id"), tokens.alias("n_tokens"))
+    narrow = docs.select(col(source_col).alias("source"), whole_id(docs, id_col).alias("doc_id"), tokens.alias("n_tokens"))
     narrow = narrow.withColumn("place", _place(F.col("doc_id"), seed)).groupBy("source", "place", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_rows"))
     queued = ordered_sums(checkpoint(narrow), ["source", "place"], "n_tokens", "own", "source")
     weight = F.lit(1.0)
@@ -44,16 +43,16 @@ def fair_order(docs: DataFrame, weights: dict[str, float], seed: str, id_col: st
     return ordered_sums(timed, ["finish", "source", "place"], "n_tokens", "mixed_tokens")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget_fraction: float = BUDGET_FRACTION, budget_tokens: int | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget_fraction: float = BUDGET_FRACTION, budget_tokens: int | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, finish, mixed_tokens) of the documents taken, in no particular row order; sort by mixed_tokens for the mix.
 
-    The budget is budget_tokens, or that fraction of all tokens. The taking stops at the first document that would pass it.
+    weights: of sources; one that isn't named has weight 1. The budget is budget_tokens, or that fraction of all tokens. The taking stops at the first document that would pass it.
     A null source is a source of its own with weight 1. Rows that share source and doc_id are one document, with their
     tokens added up, and are taken or left together; so are documents without doc_id in a source. Empty and null texts
     have no tokens, and are taken with the document before them. tokens: an integer column to use in place of the count of
     words. Other columns are ignored. An empty table gives an empty result.
     """
-    order = checkpoint(fair_order(docs, WEIGHTS if weights is None else weights, seed, id_col, source_col, word_count(col("text")) if tokens is None else tokens))
+    order = checkpoint(fair_order(docs, weights or {}, seed, id_col, source_col, word_count(col(text_col)) if tokens is None else tokens))
     if budget_tokens is None:
         budget_tokens = math.floor((order.agg(F.sum("n_tokens")).first()[0] or 0) * budget_fraction)
     return order.where(F.col("mixed_tokens") <= budget_tokens).select("doc_id", "source", "n_tokens", "finish", "mixed_tokens", "place")
@@ -62,10 +61,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget_fractio
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns as they were, reduced to the mix.
 
-    Within a source the mix is a prefix of the shuffle, so one last place for each source decides, and no text is shuffled.
+    Within a source the mix is a prefix of the shuffle, so one last place for each source decides, and no text is shuffled. Nulls,
+    repeated rows and ties go as in :func:`mix`: rows of one document stay or go together. An empty table stays empty.
     """
     id_col, source_col, seed = options.get("id_col", "doc_id"), options.get("source_col", "source"), options.get("seed", "mix")
     source, place, last = fresh(docs, "source", "place", "last")
     cuts = checkpoint(mix(docs, **options).groupBy(F.col("source").alias(source)).agg(F.max("place").alias(last)))
-    placed = docs.withColumn(place, _place(col(id_col).cast("long"), seed))
+    placed = docs.withColumn(place, _place(whole_id(docs, id_col), seed))
     return join_small(placed, cuts, col(source_col).eqNullSafe(F.col(source)) & (F.col(place) <= F.col(last)), "left_semi").drop(place)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col, ordered_sums
+from .common import checkpoint, col, ordered_sums, whole_id
 from .kernels import safe_cuts, spans, utf8, word_hashes
 
 PACK_TOKENS, DIMS, BITS, HASH_DIMS = 2048, 4, 10, 256
@@ -168,7 +168,7 @@ def pack(docs: DataFrame, pack_tokens: int = PACK_TOKENS, id_col: str = "doc_id"
     """
     if pack_tokens < 1:
         raise ValueError("pack_tokens must be positive")
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).where("text <> ''").withColumn("tie", F.xxhash64("text")).select("doc_id", "text", "tie")
+    rows = docs.select(whole_id(docs, id_col).alias("doc_id"), col(text_col).alias("text")).where("text <> ''").withColumn("tie", F.xxhash64("text")).select("doc_id", "text", "tie")
     measured = rows.mapInArrow(_measure, "doc_id long, tie long, curve long, n_tokens long")
     order = ["curve", "id", "tie"]
     measured = measured.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy(*order).agg(F.sum("n_tokens").alias("n_tokens"))

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from . import ann, chat, exactdedup, langid, mixing, packing, ppm, sharding, simhash, tokencount
 from .common import checkpoint, run_path
 
 
 #: So small that the tables given here split: 64 MB is the default.
 SHARD_BYTES = 128 << 10
+#: Target weights of the mix, for want of an owner of these tables who would give some.
+WEIGHTS = {"src0": 2.0}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +60,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = tokencount.inserts(known.where(~half))
     store.commit("back", back)
     store.commit("back", back)  # nothing: it counts already
-    return store.totals()
+    totals = checkpoint(store.totals())
+    store.delete()
+    return totals
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +75,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("place")
+    return mixing.mix(_table(spark, sf_dir, "documents"), WEIGHTS).drop("place")
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_near_dedup, op4_nearest_neighbours, op5_language_id, op6_lm_scoring, op7_chat_formatting, op8_token_counts, op9_exact_dedup, op10_mixing)}
@@ -112,7 +117,7 @@ SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE sha256(text) END AS digest, n
 
 def mix_sql(documents: str) -> str:
     """The mix of a relation with the columns of documents, as SQL."""
-    weight = " ".join(f"WHEN source = '{s}' THEN {float(w)!r}::DOUBLE" for s, w in mixing.WEIGHTS.items())
+    weight = " ".join(f"WHEN source = '{s}' THEN {float(w)!r}::DOUBLE" for s, w in WEIGHTS.items())
     return f"""
 WITH counted AS (
   SELECT source, doc_id, {_MD5_60.format("'mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')")} AS place,

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col, fresh
+from .common import checkpoint, col, fresh, whole_id
 
 SHARD_BYTES = 64 << 20
 HASH_BITS, STEP = 60, 4
@@ -91,7 +91,7 @@ def look_up(rows: DataFrame, h: str, leaves: list[tuple[int, int, int, int]], sh
 
 def _measured(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     """A row's key as it is hashed, and its size."""
-    return _hash(col(id_col).cast("long")), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long")
+    return _hash(whole_id(docs, id_col)), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long")
 
 
 def _leaves(rows: DataFrame, h: Column, size: Column, shard_bytes: int) -> list[tuple[int, int, int, int]]:
@@ -110,7 +110,7 @@ def shard(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id
     ignored; an empty table gives an empty result.
     """
     h, size = _measured(docs, id_col, text_col)
-    rows = checkpoint(docs.select(col(id_col).cast("long").alias("doc_id"), size.alias("n_bytes"), h.alias("h")))
+    rows = checkpoint(docs.select(whole_id(docs, id_col).alias("doc_id"), size.alias("n_bytes"), h.alias("h")))
     return look_up(rows, "h", _leaves(rows, F.col("h"), F.col("n_bytes"), shard_bytes), "shard", "depth", "shard_bytes")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dedup import greedy_survivors
-from .common import checkpoint, col, fresh, join_small
+from .common import checkpoint, col, fresh, join_small, whole_id
 from .kernels import GOLDEN, bit_sums, mix64, ordered_words, spans, utf8
 
 #: Shingle similarity from which documents are near copies, words of a shingle.
@@ -296,7 +296,7 @@ def _shuffled(doc_id: Column) -> Column:
 
 def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int | None = None, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class_id) of every document, and the near pairs a < b of classes; see :func:`near_duplicates`."""
-    narrow = docs.select(col(id_col).cast("long").alias("doc_id"), F.lower(col(text_col)).alias("text")).where("doc_id is not null")
+    narrow = docs.select(whole_id(docs, id_col).alias("doc_id"), F.lower(col(text_col)).alias("text")).where("doc_id is not null")
     texts = narrow.where(F.length("text") > 0)
     n = docs.count()
     segments, width = layout(n, width)
@@ -347,4 +347,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     (gone,) = fresh(docs, "gone")
     losers = checkpoint(near_duplicates(docs, id_col, text_col, threshold).where("not keep").select(F.col("doc_id").alias(gone)))
-    return join_small(docs, losers, col(id_col).cast("long") == F.col(gone), "left_anti", 48)
+    return join_small(docs, losers, whole_id(docs, id_col) == F.col(gone), "left_anti", 48)

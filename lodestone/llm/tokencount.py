@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col, join_small
+from .common import checkpoint, col, join_small, whole_id
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -52,7 +52,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizer: str =
     with open(vocabulary, "rb") as f:
         packed = zlib.compress(f.read())
     rows = docs.select(
-        col(id_col).cast("long").alias("doc_id"), col(source_col).alias("source"), col(lang_col).alias("lang"),
+        whole_id(docs, id_col).alias("doc_id"), col(source_col).alias("source"), col(lang_col).alias("lang"),
         F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long").alias("bytes"), col(text_col).alias("text"),
     )
     counted = rows.mapInArrow(_count_all(packed), "doc_id long, source string, lang string, bytes long, tokens long")
@@ -122,7 +122,9 @@ class Rollups:
 
     def _write(self, name: str, ledger: DataFrame) -> None:
         placed = ledger.withColumn("bucket", self._bucket())
-        placed.repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/ledger/batch={name}")
+        # A bucket is the work of several tasks if it is large, and rows without doc_id aren't all in one.
+        part = F.pmod(F.xxhash64("doc_id", *DIMS, "tokens", "bytes"), F.lit(1024))
+        placed.repartition("bucket", part).sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/ledger/batch={name}")
         signed = self.spark.read.schema(f"{LEDGER}, bucket int").parquet(f"{self.path}/ledger/batch={name}")
         sums = signed.groupBy(*DIMS).agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "bytes")])
         sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/rollup/batch={name}")
