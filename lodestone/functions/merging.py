@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
+
 Pair = tuple[str, str]
 
 
@@ -23,79 +24,111 @@ def merge(symbols: list[str], pair: Pair) -> list[str]:
     return out
 
 
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each key: itself, the sum of its values; the order that brings keys together, and where each begins in it."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)])
+    return keys[order][first], np.add.reduceat(values[order], first) if len(first) else values[:0], order, first
+
+
 def learn(words: Iterable[tuple[str, int]], limit: int, min_frequency: int) -> list[Pair]:
     """At most ``limit`` merges over (word, frequency), words in the order of their first appearance.
 
     Each merge joins the pair of adjacent symbols with the largest count; of equal counts, the one that a reading of all words
-    meets first. It ends when no pair is left or the best is rarer than min_frequency. A heap holds, for each pair, a key (count,
-    first word, place of its first letter there) that is never worse than the true one: a place in letters doesn't move when
-    symbols merge, counts that grow are pushed anew, and an entry that turns out too good is put back where it belongs.
+    meets first. It ends when no pair is left or the best is rarer than min_frequency.
+
+    All words lie end to end in arrays: a symbol is at the place of its first letter, with links to those beside it in its word. For each
+    pair there are the places where it was put, of which some may be stale. A heap holds, for each pair, a key (count, first place)
+    that is never worse than the true one: places don't move when symbols merge, counts that grow are pushed anew, and
+    an entry that turns out too good is put back where it belongs. A merge updates all its places at once.
     """
-    symbols, freqs = [], []
-    for word, freq in words:
-        symbols.append(list(word))
-        freqs.append(freq)
-    counts: dict[Pair, int] = defaultdict(int)
-    where: dict[Pair, list[int]] = defaultdict(list)  # heaps of words, some of which may no longer have the pair
-    for w, s in enumerate(symbols):
-        for pair in zip(s, s[1:]):
-            counts[pair] += freqs[w]
-            if not where[pair] or where[pair][-1] != w:
-                where[pair].append(w)
-
-    def key(pair: Pair):
-        heap = where[pair]
-        while heap:
-            at = 0
-            s = symbols[heap[0]]
-            for k in range(len(s) - 1):
-                if s[k] == pair[0] and s[k + 1] == pair[1]:
-                    return (-counts[pair], heap[0], at, pair)
-                at += len(s[k])
-            heapq.heappop(heap)
-        return None
-
-    queue = [k for pair in counts if (k := key(pair))]
-    heapq.heapify(queue)
+    words = list(words)
+    sizes = np.fromiter((len(w) for w, _ in words), np.int64, len(words))
+    n = int(sizes.sum())
+    if not n:
+        return []
+    letters = np.frombuffer("".join(w for w, _ in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    weight = np.repeat(np.fromiter((f for _, f in words), np.int64, len(words)), sizes)
+    names = [chr(c) for c in np.unique(letters).tolist()]
+    numbers = {name: k for k, name in enumerate(names)}
+    symbol = np.searchsorted(np.unique(letters), letters).astype(np.int64)
+    ends = np.cumsum(sizes)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends[sizes > 0] - 1] = -1
+    before[(ends - sizes)[sizes > 0]] = -1
+
+    def pairs(at: np.ndarray) -> np.ndarray:
+        return symbol[at] << 32 | symbol[after[at]]
+
+    counts: dict[int, int] = {}
+    places: dict[int, list[np.ndarray]] = {}
+    bound: dict[int, int] = {}
+    queue: list[tuple[int, int, int]] = []
+
+    def add(at: np.ndarray) -> None:
+        keys, sums, order, first = _sums(pairs(at), weight[at])
+        for key, total, own in zip(keys.tolist(), sums.tolist(), np.split(at[order], first[1:])):
+            low = int(own.min())
+            if key in counts:
+                counts[key] += total
+                places[key].append(own)
+                bound[key] = min(bound[key], low)
+            else:
+                counts[key], places[key], bound[key] = total, [own], low
+            heapq.heappush(queue, (-counts[key], bound[key], key))
+
+    add(np.flatnonzero(after >= 0))
     merges: list[Pair] = []
     while len(merges) < limit and queue:
-        top = heapq.heappop(queue)
-        pair = top[3]
-        if not counts.get(pair):
+        count, low, key = heapq.heappop(queue)
+        if key not in counts:
+            continue
+        if -count != counts[key]:
+            heapq.heappush(queue, (-counts[key], bound[key], key))
+            # Entries of one key pile up: those below its best are dropped as they come.
+            while queue and queue[0][2] == key and queue[0] != (-counts[key], bound[key], key):
+                heapq.heappop(queue)
+            continue
+        a, b = key >> 32, key & 0xFFFFFFFF
+        at = np.unique(np.concatenate(places[key]))
+        at = at[(symbol[at] == a) & (after[at] >= 0)]
+        at = at[symbol[after[at]] == b]
+        places[key] = [at]
+        if not len(at):
+            del counts[key], places[key], bound[key]
             continue
-        true = key(pair)
-        if true != top:
-            if true:
-                heapq.heappush(queue, true)
+        if int(at[0]) != low:
+            bound[key] = int(at[0])
+            heapq.heappush(queue, (count, bound[key], key))
             continue
-        if counts[pair] < min_frequency:
+        if counts[key] < min_frequency:
             break
-        merges.append(pair)
-        grown: set[Pair] = set()
-        for w in sorted(set(where[pair])):
-            old = symbols[w]
-            new = merge(old, pair)
-            if len(new) == len(old):
-                continue
-            symbols[w] = new
-            had = set(zip(old, old[1:]))
-            for p in zip(old, old[1:]):
-                counts[p] -= freqs[w]
-            for p in zip(new, new[1:]):
-                counts[p] += freqs[w]
-                if p not in had:
-                    had.add(p)
-                    heapq.heappush(where[p], w)
-                    grown.add(p)
-                elif pair[0] + pair[1] in p:
-                    grown.add(p)
-        if not counts[pair]:
-            del counts[pair], where[pair]
-        for p in grown:
-            if counts.get(p) and (k := key(p)):
-                heapq.heappush(queue, k)
-        if counts.get(pair) and (k := key(pair)):
-            heapq.heappush(queue, k)
+        merges.append((names[a], names[b]))
+        if a == b:
+            # In a run of equal symbols every second pair is joined, from the left.
+            new = np.append(True, after[at[:-1]] != at[1:])
+            begin = np.flatnonzero(new)
+            at = at[(np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0]
+        right = after[at]
+        left, far = before[at], after[right]
+        gone = np.unique(np.concatenate([at, right[far >= 0], left[left >= 0]]))
+        keys, sums, _, _ = _sums(pairs(gone), weight[gone])
+        for k, total in zip(keys.tolist(), sums.tolist()):
+            counts[k] -= total
+            if not counts[k]:
+                del counts[k], places[k], bound[k]
+        name = names[a] + names[b]
+        if name not in numbers:
+            numbers[name] = len(names)
+            names.append(name)
+        symbol[at], symbol[right], after[at] = numbers[name], -1, far
+        before[far[far >= 0]] = at[far >= 0]
+        left = before[at]
+        now = np.unique(np.concatenate([at[after[at] >= 0], left[left >= 0]]))
+        if len(now):
+            add(now)
+        if key in counts:
+            heapq.heappush(queue, (-counts[key], bound[key], key))
     return merges
 
 
