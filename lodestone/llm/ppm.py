@@ -9,9 +9,13 @@ the bytes it has seen are excluded from the next shorter one; last comes the uni
 Every document is scored by a model that hasn't seen its text: texts fall by their hash into two folds, and each fold is
 coded by the counts of the other. (So copies of a text can't vouch for it.) Because the set of bytes excluded depends on
 the context alone, the code length of each (ORDER + 1)-gram can be tabulated once, by tasks that each take some two-byte
-contexts with everything above them; a document's score is then a sum of table entries, in exact fixed-point bits. The table
-goes to the workers as hash tables of at most TABLE_ROWS entries. A larger one takes several passes over the texts, each
-with a part of it, whose sums are added.
+contexts with everything above them (at most 257 * 257 * 256 grams each, however much text there is); a document's score is
+then a sum of table entries, in exact fixed-point bits.
+
+Neither grams nor table pass through the driver. Texts are shuffled once into blocks of about block_bytes. Each block sends its
+distinct grams with their counts, by gram; there they are summed, tabulated by context, and joined with the code lengths; and
+these go back to the block, where a hash table of its own grams codes its texts. What moves is the texts once and the distinct
+grams of each block twice.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col
+from .common import col, whole_id
 from .kernels import utf8
 
 ORDER, SYMBOL = 4, 9
-TABLE_ROWS = 4 << 20
+#: Bytes of text in a block: its distinct grams are held by one task.
+BLOCK_BYTES = 16 << 20
 UNIT = 1 << 20  # fixed-point units in a bit
 BLOCK = 1 << 20
 FLUSH_ROWS = 1 << 21
+ROOTS = 257 * 256
 
 
 def grams(data: np.ndarray, off: np.ndarray, begin: int, end: int) -> np.ndarray:
@@ -66,34 +72,62 @@ def _sum_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(values, first)
 
 
+def _count_pairs(batches):
+    """(pair, n0, n1) over rows (fold, text): how often each byte follows each (256: the start) in texts of either fold."""
+    total = np.zeros(2 * ROOTS, np.int64)
+    for batch in batches:
+        data, off = utf8(batch.column(1))
+        fold = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.empty(len(data), np.int64)
+        before[1:] = data[:-1]
+        before[off[:-1][off[:-1] < len(data)]] = 256
+        for a, b in blocks(off):
+            total += np.bincount(fold[rows_of(off, a, b)] * ROOTS + before[a:b] * 256 + data[a:b], minlength=2 * ROOTS)
+    at = np.flatnonzero(total.reshape(2, ROOTS).any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(total[ROOTS + at])], names=["pair", "n0", "n1"])
+
+
 def _count(weight: int):
-    """Partial counts (gram, n0, n1) of a task: n0 of fold 0, n1 of fold 1, times weight (0: the grams alone)."""
+    """Counts (block, gram, n0, n1) over rows (block, doc_id, fold, tie, text) sorted by block: n0 in fold 0, n1 in fold 1, times weight (0: the grams alone)."""
     fold_bit = SYMBOL * (ORDER + 1)
 
-    def emit(keys, counts):
+    def emit(block, keys, counts):
         gram, fold = keys & ((1 << fold_bit) - 1), keys >> fold_bit
-        counts = counts * weight
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.where(fold == 0, counts, 0)), pa.array(np.where(fold == 1, counts, 0))], names=["gram", "n0", "n1"])
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        n = [np.add.reduceat(np.where(fold == f, counts * weight, 0), first).astype(np.int32) for f in range(2)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block, np.int32)), pa.array(gram[first]), pa.array(n[0]), pa.array(n[1])], names=["block", "gram", "n0", "n1"])
+
+    def summed(held):
+        keys, counts = _sum_by_key(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+        order = np.argsort(keys & ((1 << fold_bit) - 1), kind="stable")
+        return keys[order], counts[order]
 
     def count(batches):
-        held, size = [], 0
-        for batch in batches:
-            data, off = utf8(batch.column(1))
-            fold = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in blocks(off):
-                key = grams(data, off, a, b) | fold[rows_of(off, a, b)] << fold_bit
-                key.sort()
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                held.append((key[first], np.diff(np.append(first, len(key)))))
-                size += len(first)
-                if size > FLUSH_ROWS:
-                    keys, counts = _sum_by_key(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-                    held, size = [(keys, counts)], len(keys)
-                    if size > FLUSH_ROWS // 2:
-                        yield emit(keys, counts)
-                        held, size = [], 0
+        now, held, size = None, [], 0
+        for whole in batches:
+            number = whole.column(0).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
+            for i, j in zip(edge, [*edge[1:], len(number)]):
+                if number[i] != now and held:
+                    yield emit(now, *summed(held))
+                    held, size = [], 0
+                now, batch = number[i], whole.slice(i, j - i)
+                data, off = utf8(batch.column(4))
+                fold = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                for a, b in blocks(off):
+                    key = grams(data, off, a, b) | fold[rows_of(off, a, b)] << fold_bit
+                    key.sort()
+                    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    held.append((key[first], np.diff(np.append(first, len(key)))))
+                    size += len(first)
+                    if size > FLUSH_ROWS:
+                        held = [summed(held)]
+                        size = len(held[0][0])
+                        if size > FLUSH_ROWS // 2:
+                            yield emit(now, *held[0])
+                            held, size = [], 0
         if held:
-            yield emit(*_sum_by_key(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])))
+            yield emit(now, *summed(held))
 
     return count
 
@@ -198,61 +232,59 @@ def look_up(slots: np.ndarray, values: np.ndarray, keys: np.ndarray, fold: np.nd
     return out
 
 
-def _score(table):
-    def score(batches):
-        slots, values = table.value
-        for batch in batches:
-            data, off = utf8(batch.column(2))
-            fold = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            units = np.zeros(len(off) - 1, np.int64)
-            for a, b in blocks(off):
-                row = rows_of(off, a, b)
-                got = look_up(slots, values, grams(data, off, a, b), fold[row])
-                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                units[row[first]] += np.add.reduceat(got, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(units), batch.column(3)], names=["doc_id", "n_bytes", "units", "tie"])
+def _score(texts: pa.Table, table: pa.Table) -> pa.Table:
+    """The scores of a block's texts (block, doc_id, fold, tie, text) by its table (block, gram, u0, u1, ...)."""
+    slots, values = hash_table(*(table.column(k).to_numpy() for k in range(1, 4)))
+    data, off = utf8(texts.column(4))
+    fold = texts.column(2).to_numpy().astype(np.int64)
+    units = np.zeros(len(off) - 1, np.int64)
+    for a, b in blocks(off):
+        row = rows_of(off, a, b)
+        got = look_up(slots, values, grams(data, off, a, b), fold[row])
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        units[row[first]] += np.add.reduceat(got, first)
+    return pa.table({"doc_id": texts.column(1), "n_bytes": pa.array(np.diff(off)), "units": pa.array(units)})
 
-    return score
 
-
-def score(docs: DataFrame, reference: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", table_rows: int = TABLE_ROWS) -> DataFrame:
+def score(docs: DataFrame, reference: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte) for every row: its code length under the model.
 
     The model is made of docs' other fold, or of all of ``reference`` (a table with the same two columns) if given. Texts
     are coded whole, as UTF-8. Null and empty texts have no bytes, 0 bits and null bits_per_byte. Equal texts always have
-    equal scores; repeated rows and rows without doc_id are scored each. With nothing to learn from, a byte takes 8 bits.
-    Other columns are ignored; an empty table gives an empty result.
+    equal scores; repeated rows and rows without doc_id are scored each. With nothing to learn from, a byte takes 8 bits. Ids
+    are whole numbers. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     fold = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
 
     def texts(df):
-        return df.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+        return df.select(whole_id(df, id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
 
     own = texts(docs)
-    counts = own.where("text <> ''").select(fold.alias("fold"), "text").mapInArrow(_count(1 if reference is None else 0), "gram long, n0 long, n1 long")
-    if reference is not None:
-        both = texts(reference).where("text <> ''").select(F.lit(0).alias("fold"), "text").mapInArrow(_count(1), "gram long, n0 long, n1 long")
-        counts = counts.union(both.select("gram", "n0", F.col("n0").alias("n1")))
-    counts = checkpoint(counts.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    if reference is None:
+        learned = own.where("text <> ''").select(fold.alias("fold"), "text")
+    else:
+        learned = texts(reference).where("text <> ''").select(F.lit(0).alias("fold"), "text")
     # At most 257 * 256 rows, however much text there is.
     tables = [np.zeros((257, 256)), np.zeros((257, 256))]
-    for pair, a, b in counts.groupBy(F.expr(f"gram & {(1 << 2 * SYMBOL) - 1}").alias("pair")).agg(F.sum("n0"), F.sum("n1")).collect():
-        tables[0][pair >> SYMBOL, pair & 511], tables[1][pair >> SYMBOL, pair & 511] = a, b
+    for pair, a, b in learned.mapInArrow(_count_pairs, "pair long, n0 long, n1 long").groupBy("pair").agg(F.sum("n0"), F.sum("n1")).collect():
+        tables[0].flat[pair], tables[1].flat[pair] = (a, b) if reference is None else (a, a)
+    size = sum(t.sum() for t in tables) if reference is None else own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # The blocks of one text's copies, and of repeated rows, differ: a hot text is spread.
+    parts = max(-(-int(size) // block_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, int(size) >> 20), 1)
+    block = F.pmod(F.xxhash64("doc_id", "tie", F.spark_partition_id()), F.lit(parts)).cast("int")
+    placed = own.withColumn("fold", fold).withColumn("tie", F.xxhash64("text")).select(block.alias("block"), "doc_id", "fold", "tie", "text").repartition("block")
+    kind = "block int, gram long, n0 int, n1 int"
+    counts = placed.sortWithinPartitions("block").mapInArrow(_count(1 if reference is None else 0), kind)
+    if reference is not None:
+        other = learned.select(F.lit(-1).alias("block"), F.lit(0).cast("long").alias("doc_id"), "fold", F.lit(0).cast("long").alias("tie"), "text").mapInArrow(_count(1), kind)
+        counts = counts.union(other.select("block", "gram", "n0", F.col("n0").alias("n1")))
+    # Both of what follows read this one shuffle. For that they must use the same columns, and have the filter that a join implies.
+    by_gram = counts.where("gram is not null").repartition("gram")
     context = F.expr(f"shiftright(gram, {SYMBOL}) & {(1 << 2 * SYMBOL) - 1}")
-    table = checkpoint(counts.repartition(context).mapInArrow(_tabulate(tables), "gram long, u0 int, u1 int"))
-    passes = max(1, -(-table.count() // table_rows))
-    rows = own.withColumn("fold", fold).withColumn("tie", F.xxhash64("text")).select("doc_id", "fold", "text", "tie")
-    scored = None
-    for p in range(passes):
-        part = (table.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == p) if passes > 1 else table).toArrow()
-        built = spark.sparkContext.broadcast(hash_table(*(part.column(k).to_numpy() for k in range(3))))
-        one = rows.mapInArrow(_score(built), "doc_id long, n_bytes long, units long, tie long")
-        scored = one if scored is None else scored.union(one)
-    if passes > 1:
-        # Rows alike in id and text are alike in every pass: add the passes up, and give each of the rows its share.
-        n = F.expr(f"n div {passes}")
-        scored = scored.groupBy("doc_id", "n_bytes", "tie").agg(F.sum("units").alias("units"), F.count(F.lit(1)).alias("n"))
-        scored = scored.select("doc_id", "n_bytes", F.expr(f"units div (n div {passes})").alias("units"), F.explode(F.array_repeat(F.lit(0), n.cast("int"))))
+    summed = by_gram.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("block").alias("block"))
+    table = summed.repartition(context).mapInArrow(_tabulate(tables), "gram long, u0 int, u1 int")
+    needed = by_gram if reference is None else by_gram.where("block >= 0")
+    needed = needed.join(table.hint("shuffle_hash"), "gram").select("block", "gram", "u0", "u1", "n0", "n1")
+    scored = placed.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_score, "doc_id long, n_bytes long, units long")
     bits = F.col("units") / F.lit(float(UNIT))
     return scored.select("doc_id", "n_bytes", bits.alias("bits"), F.when(F.col("n_bytes") > 0, bits / F.col("n_bytes")).alias("bits_per_byte"))

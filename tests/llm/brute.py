@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import zstandard
 
-from lodestone.llm import langid, mixing, packing
+from lodestone.llm import langid, mixing, packing, queries
 
 
 def text_bytes(t):
@@ -109,7 +109,7 @@ def mixed(rows, weights, fraction):
 
 
 def mix_documents(rows):
-    return mixed(rows, mixing.WEIGHTS, mixing.BUDGET_FRACTION)
+    return mixed(rows, queries.WEIGHTS, mixing.BUDGET_FRACTION)
 
 
 def tokens(t):

@@ -55,6 +55,12 @@ def test_ugly_and_empty_tables(docs, name):
     assert none.count() == 0 and none.columns == out.columns
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_ids_of_other_types_are_refused(docs, name):
+    with pytest.raises(TypeError, match="whole numbers"):
+        OPERATORS[name](docs.withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))))
+
+
 def ids(df, c="doc_id"):
     return sorted((r[c] for r in df.select(c).collect()), key=lambda x: (x is None, x or 0))
 
@@ -129,6 +135,8 @@ def test_mixing_rows(docs):
     kept = mixing.take_mix(docs)
     assert kept.columns == docs.columns
     assert mixing.take_mix(docs.where("false")).count() == 0
+    renamed = docs.withColumnRenamed("text", "body")
+    assert mixing.mix(renamed, text_col="body").count() == mixing.mix(docs).count()
     with pytest.raises(ValueError):
         mixing.mix(docs, {"web": 0.0})
 
@@ -157,10 +165,13 @@ def test_vectors(spark):
     good = [(k, [float(k), 1.0, -float(k % 3)]) for k in range(8)]
     bad = [(20, None), (21, []), (22, [1.0, None, 2.0]), (23, [1.0, float("nan"), 2.0]), (24, [1.0]), (None, [1.0, 2.0, 3.0]), (3, [3.0, 1.0, 0.0]), (25, [float("inf"), 1.0, 1.0])]
     df = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>").select("*", *[F.lit("own").alias(c) for c in ("id", "v", "cell", "q", "x", "score", "rank", "a.b")])
-    rows = ann.neighbours(df, 10).collect()
+    rows = ann.neighbours(df).collect()
     assert {r["vec_id"] for r in rows} == set(range(8)) and len(rows) == 8 * 7
     assert all(r["vec_id"] != r["neighbour_id"] for r in rows)
     assert ann.neighbours(df.where("false")).count() == 0 and ann.neighbours(df.where("vec_id = 1")).count() == 0
+    assert ann.neighbours(df, df.where("false")).count() == 0 and ann.neighbours(df.where("false"), df).count() == 0
+    few = ann.neighbours(df, df.where("vec_id >= 6"), k=2).collect()
+    assert {(r["vec_id"], r["rank"]) for r in few} == {(6, 1), (6, 2), (7, 1), (7, 2)}
 
 
 def test_pipeline_stages(spark, docs, sf_dir):
