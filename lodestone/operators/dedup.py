@@ -68,6 +68,17 @@ def first_by_hash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return first_of_each(narrow, F.coalesce(text_hash(F.col("text")), F.lit("")), "doc_id")
 
 
+def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, s, n): each document's distinct shingles as 64-bit hashes, and how many there are."""
+    hashed = F.transform(shingles(col(text_col), k), lambda s: F.xxhash64(s))
+    return df.select(col(id_col).alias("doc_id"), F.array_distinct(hashed).alias("s")).withColumn("n", F.size("s"))
+
+
+def prefix_length(n: Column, threshold: float) -> Column:
+    """Of n shingles in any one order for all documents, how many must be looked at: a set as similar as that shares one of those."""
+    return n - F.ceil(threshold * n - 1e-9) + 1
+
+
 def similar_pairs(df: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
     """(i, j, similarity) of the pairs i < j whose shingle sets have at least that Jaccard similarity; exact, for threshold > 0.
 
@@ -76,13 +87,12 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, id_col: str = "doc_id"
     """
     if threshold <= 0:
         raise ValueError("every pair is that similar")
-    sets = df.select(F.col(id_col).alias("doc_id"), F.transform(shingles(F.col(text_col), k), lambda s: F.xxhash64(s)).alias("s")).withColumn("s", F.array_distinct("s")).withColumn("n", F.size("s"))
-    sets = checkpoint(sets)
+    sets = checkpoint(shingle_sets(df, id_col, text_col, k))
     posts = sets.select("doc_id", "n", F.explode("s").alias("x"))
     often = posts.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
     # A shingle that only one document has can't be shared, but it does count among the rarest.
     ranked = posts.join(often, "x").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "x")))
-    prefix = ranked.where((F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1) & (F.col("df") > 1)).select("doc_id", "n", "x")
+    prefix = ranked.where((F.col("r") <= prefix_length(F.col("n"), threshold)) & (F.col("df") > 1)).select("doc_id", "n", "x")
     a = prefix.select(F.col("doc_id").alias("i"), F.col("n").alias("ni"), "x")
     b = prefix.select(F.col("doc_id").alias("j"), F.col("n").alias("nj"), "x")
     pairs = a.join(b, "x").where((F.col("i") < F.col("j")) & (F.least("ni", "nj") >= (threshold - 1e-9) * F.greatest("ni", "nj"))).select("i", "j").distinct()

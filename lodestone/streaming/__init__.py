@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import PreprocessingConfig
 from ..operators import clean, dedup, quality
 from ..operators.bpe import BpeModel
-from ..runtime import checkpoint, fresh
+from ..runtime import checkpoint, col, fresh
 
 
 def prepare_stream(stream: DataFrame, config: PreprocessingConfig | None = None, text_col: str = "text") -> DataFrame:
@@ -43,27 +43,48 @@ def windowed_counts(stream: DataFrame, time_col: str, window: str, delay: str, k
 class NearDedupSink:
     """For foreachBatch: keeps the rows of each batch that are like none kept before, under ``path``.
 
-    kept/batch=N has a batch's rows, and what counts is batches 0 to N in order; a batch that is tried again after a failure
-    overwrites its own folder and ignores it while it compares, so the result is the same. Ids must differ, and grow from batch to batch.
+    kept/batch=N has a batch's rows, sets/batch=N their shingles, and index/batch=N those of them by which similar documents are found:
+    a batch is shingled once, and meets only the index of what came before. What counts is batches 0 to N in order; a batch that is
+    tried again after a failure overwrites its own folders and ignores them while it compares, so the result is the same. Ids must
+    differ, and grow from batch to batch; null texts are dropped. The threshold is above 0 and 1 at most.
     """
 
     def __init__(self, spark: SparkSession, path: str, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text"):
+        if not 0 < threshold <= 1:
+            raise ValueError("a stream is compared by a threshold above 0 and of 1 at most")
         self.spark, self.path, self.threshold, self.id_col, self.text_col = spark, path.rstrip("/"), threshold, id_col, text_col
 
-    def kept(self, before: int | None = None) -> DataFrame | None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/kept")
+    def _part(self, kind: str, before: int | None = None) -> DataFrame | None:
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
         fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(fs_path):
             return None
         numbers = [int(s.getPath().getName()[6:]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("batch=")]
-        paths = [f"{self.path}/kept/batch={n}" for n in sorted(numbers) if before is None or n < before]
+        paths = [f"{self.path}/{kind}/batch={n}" for n in sorted(numbers) if before is None or n < before]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def kept(self, before: int | None = None) -> DataFrame | None:
+        return self._part("kept", before)
+
     def __call__(self, batch: DataFrame, number: int) -> None:
-        new = checkpoint(batch)
-        old = self.kept(number)
-        both = new if old is None else old.select(*new.columns).unionByName(new)
-        # Kept rows come first in the order of ids, and are unlike one another: all of them are kept again.
-        kept = dedup.near_deduplicate(both, self.threshold, self.id_col, self.text_col)
-        added = kept if old is None else kept.join(new.select(self.id_col), self.id_col, "left_semi")
-        added.write.mode("overwrite").parquet(f"{self.path}/kept/batch={number}")
+        text, t = col(self.text_col), self.threshold
+        new = checkpoint(batch.where(text.isNotNull()))
+        firsts = checkpoint(dedup.first_of_each(new, dedup.text_hash(text), self.id_col))
+        sets = checkpoint(dedup.shingle_sets(firsts, self.id_col, self.text_col))
+        # Any order does, if it is the same for all documents for ever: that of the hashes.
+        posts = sets.select("doc_id", "n", F.explode(F.slice(F.array_sort("s"), F.lit(1), dedup.prefix_length(F.col("n"), t).cast("int"))).alias("x"))
+        index, before = self._part("index", number), self._part("sets", number)
+        (own,) = fresh(firsts, "own")
+        if index is not None and before is not None:
+            old = index.select(F.col("doc_id").alias("i"), F.col("n").alias("ni"), "x")
+            pairs = posts.select(F.col("doc_id").alias("j"), "n", "x").join(old, "x").where(F.least("n", "ni") >= (t - 1e-9) * F.greatest("n", "ni")).select("i", "j").distinct()
+            both = pairs.join(before.select(F.col("doc_id").alias("i"), F.col("s").alias("si")), "i").join(sets.select(F.col("doc_id").alias("j"), "s"), "j")
+            like = checkpoint(both.where(dedup.jaccard(F.col("si"), F.col("s")) >= t).select(F.col("j").alias(own)).distinct())
+            firsts = checkpoint(firsts.join(like, col(self.id_col) == F.col(own), "left_anti"))
+        dropped = dedup.greedy_dropped(dedup.similar_pairs(firsts, t, self.id_col, self.text_col))
+        if dropped is not None:
+            firsts = firsts.join(dropped.select(F.col("doc_id").alias(own)), col(self.id_col) == F.col(own), "left_anti")
+        kept = checkpoint(firsts)
+        ids = kept.select(col(self.id_col).alias("doc_id"))
+        for kind, rows in (("sets", sets.select("doc_id", "s").join(ids, "doc_id", "left_semi")), ("index", posts.join(ids, "doc_id", "left_semi")), ("kept", kept)):
+            rows.write.mode("overwrite").parquet(f"{self.path}/{kind}/batch={number}")
