@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import checkpoint, col, fresh, join_small, whole_id
+from .kernels import release
 
 #: The bounds of the training sample, parameters of every function here: texts of each language and fold (in the mean), bytes of each
 #: dictionary. A text gives it a PIECES-th part of a dictionary at most.
@@ -103,9 +104,10 @@ def classifier(dicts: tuple[Dictionaries, Dictionaries], min_margin: float = MIN
     langs = sorted(dicts[0])
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_()]
 
+    coders: list[list] = []  # made once by each task
+
     def classify(texts: pa.Array, folds: pa.Array) -> pa.Array:
-        coders = []
-        for f in range(2):
+        for f in range(2 * (not coders)):
             coders.append([])
             for lang in langs:
                 d = zstandard.ZstdCompressionDict(dicts[1 - f][lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -130,6 +132,7 @@ def classifier(dicts: tuple[Dictionaries, Dictionaries], min_margin: float = MIN
             columns = [name(0, known), pa.array(best, mask=~known), name(1, known), pa.array(second, mask=~known), pa.array(margin, mask=~known), pa.array(fine)]
         else:
             columns = [name(0, known), pa.array(best, mask=~known), pa.nulls(n, kinds[2]), pa.nulls(n, kinds[3]), pa.nulls(n, kinds[4]), pa.array(known)]
+        release()
         return pa.StructArray.from_arrays([c.cast(k) for c, k in zip(columns, kinds)], [x.split()[0] for x in RESULT.split(", ")])
 
     return classify

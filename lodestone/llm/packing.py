@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, col, ordered_sums, whole_id
-from .kernels import safe_cuts, spans, utf8, word_hashes
+from .kernels import safe_cuts, spans, tidy, utf8, word_hashes
 
 PACK_TOKENS, DIMS, BITS, HASH_DIMS = 2048, 4, 10, 256
 PROJECTION = np.random.Generator(np.random.PCG64(20240229)).standard_normal((HASH_DIMS, DIMS))
@@ -94,6 +94,7 @@ def token_starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, row
 
 
+@tidy
 def _measure(batches):
     for batch in batches:
         data, off = utf8(batch.column(1))
@@ -122,7 +123,7 @@ def _route(cuts: list[tuple[int, int, int]]):
                 part[r] = max(bisect_right(cuts, own, int(low[r]), int(high[r])) - 1, 0)
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(curve), batch.column(0), batch.column(2), batch.column(1)], names=["part", "curve", "doc_id", "tie", "text"])
 
-    return route
+    return tidy(route)
 
 
 def _cut(bases: list[int], pack_tokens: int):
@@ -154,7 +155,7 @@ def _cut(bases: list[int], pack_tokens: int):
                     names=["pack_id", "position", "doc_id", "start", "n_tokens", "text"],
                 )
 
-    return cut
+    return tidy(cut)
 
 
 def pack(docs: DataFrame, pack_tokens: int = PACK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, whole_id
-from .kernels import utf8
+from .kernels import release, tidy, utf8
 
 ORDER, SYMBOL = 4, 9
 #: Bytes of text in a block: its distinct grams are held by one task.
@@ -72,6 +72,7 @@ def _sum_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(values, first)
 
 
+@tidy
 def _count_pairs(batches):
     """(pair, n0, n1) over rows (fold, text): how often each byte follows each (256: the start) in texts of either fold."""
     total = np.zeros(2 * ROOTS, np.int64)
@@ -129,7 +130,7 @@ def _count(weight: int):
         if held:
             yield emit(now, *summed(held))
 
-    return count
+    return tidy(count)
 
 
 def code_lengths(gram: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -194,7 +195,7 @@ def _tabulate(tables: list[np.ndarray]):
         u1 = np.rint(code_lengths(gram, n0, tables[0]) * UNIT).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(u0), pa.array(u1)], names=["gram", "u0", "u1"])
 
-    return tabulate
+    return tidy(tabulate)
 
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -243,6 +244,8 @@ def _score(texts: pa.Table, table: pa.Table) -> pa.Table:
         got = look_up(slots, values, grams(data, off, a, b), fold[row])
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         units[row[first]] += np.add.reduceat(got, first)
+    del slots, values
+    release()
     return pa.table({"doc_id": texts.column(1), "n_bytes": pa.array(np.diff(off)), "units": pa.array(units)})
 
 

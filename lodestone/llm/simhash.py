@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import greedy_survivors
 from .common import checkpoint, col, fresh, join_small, whole_id
-from .kernels import GOLDEN, bit_sums, mix64, ordered_words, spans, utf8
+from .kernels import GOLDEN, bit_sums, mix64, ordered_words, spans, tidy, utf8
 
 #: Shingle similarity from which documents are near copies, words of a shingle.
 THRESHOLD, SHINGLE = 0.5, 3
@@ -36,7 +36,7 @@ NEAR, MISS, WIDTH = 0.11, 0.0012, 28
 #: Bits of 128 by which a candidate may differ in the second signature; unrelated texts differ in 64, those at the threshold in 20.
 APART = 44
 #: Rows of a cell that one task handles at most, candidates at a time, documents that are verified together.
-HOT, PAIR_ROWS, UNIT_DOCS = 1 << 17, 1 << 20, 1024
+HOT, PAIR_ROWS, UNIT_DOCS = 1 << 17, 1 << 18, 1024
 POSTS = "k long, part int, own int, other long, id long, c0 long, c1 long"
 
 
@@ -109,9 +109,10 @@ def _sign(segments: int, width: int):
             cols = [batch.column(0), *(pa.array(np.ascontiguousarray(x[:, k])) for x in (same, check) for k in range(2)), packed]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "d0", "d1", "c0", "c1", "bits"]).filter(pa.array(count > 0))
 
-    return sign
+    return tidy(sign)
 
 
+@tidy
 def _shingle_sets(batches):
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
@@ -144,7 +145,7 @@ def _post(segments: int, width: int):
                 none = np.zeros(k.size, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.ravel(), none, none, other.ravel(), each(0), each(1), each(2))], names=["k", "part", "own", "other", "id", "c0", "c1"])
 
-    return post
+    return tidy(post)
 
 
 def whole_keys(batches, least: int = 1 << 16):
@@ -214,7 +215,7 @@ def _meet(width: int):
                 hit = values[to] == target
                 yield from expand(at[hit], start[to[hit]], end[to[hit]], cell)
 
-    return meet
+    return tidy(meet)
 
 
 def candidate_pairs(reps: DataFrame, segments: int, width: int, hot: int = HOT) -> DataFrame:
@@ -266,7 +267,7 @@ def _judge(threshold: float):
                 x, y, s = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
-    return judge
+    return tidy(judge)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, unit_docs: int = UNIT_DOCS) -> DataFrame:
