@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.config import CODE_PATTERN, TokenizerConfig
+from lodestone.functions import merging
 from lodestone.operators import pretokenize
+from lodestone.operators.bpe import build, train
 
 CODE = TokenizerConfig(regex_pattern=CODE_PATTERN, vocab_size=0, min_frequency=1)
 
@@ -35,3 +37,12 @@ def test_first_places_of_any_id(spark):
     assert pretokenize.word_counts(small, CODE).schema["first_doc"].dataType.typeName() == "integer"
     named = spark.createDataFrame([("k", "b a"), ("j", "a")], "doc_id string, text string")
     assert {(r["word"], r["first_doc"], r["first_pos"]) for r in pretokenize.word_counts(named, CODE).collect()} == {("a", "j", 0), ("b", "k", 0), (" ", "k", 1)}
+
+
+def test_a_tokenizer_of_characters_takes_no_words_to_the_driver(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = pretokenize.word_counts(docs, CODE)
+    want = build([(r["word"], r["freq"]) for r in words.collect()], CODE)
+    monkeypatch.setattr(merging, "learn", lambda *a: pytest.fail("there is nothing to learn"))
+    got = train(docs, CODE)
+    assert got.vocab == want.vocab and got.merges == () and got.aliases == want.aliases
