@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import CODE_PATTERN, TokenizerConfig
 from lodestone.functions import merging
-from lodestone.operators import pretokenize
+from lodestone.operators import phases, pretokenize
 from lodestone.operators.bpe import build, train
 
 CODE = TokenizerConfig(regex_pattern=CODE_PATTERN, vocab_size=0, min_frequency=1)
@@ -46,3 +46,27 @@ def test_a_tokenizer_of_characters_takes_no_words_to_the_driver(spark, sf_dir, m
     monkeypatch.setattr(merging, "learn", lambda *a: pytest.fail("there is nothing to learn"))
     got = train(docs, CODE)
     assert got.vocab == want.vocab and got.merges == () and got.aliases == want.aliases
+
+
+def test_merges_learned_in_phases(spark, sf_dir):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("aab") for _ in range(rng.randrange(1, 12))) for _ in range(30)) for _ in range(20)]
+    runs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    for docs, limit, least, letters in ((runs, 60, 1, 80), (runs, 1000, 2, 300), (real, 300, 1, 4000)):
+        words = pretokenize.word_counts(docs, CODE).where(f"freq >= {least}").cache()
+        listed = [(r["word"], r["freq"]) for r in words.orderBy("first_doc", "first_pos").collect()]
+        assert sum(len(w) for w, _ in listed) > letters
+        taken = []
+        plain = merging.learn
+
+        def watched(own, *more):
+            own = list(own)
+            taken.append(sum(len(w) for w, _ in own))
+            return plain(own, *more)
+
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(merging, "learn", watched)
+            got = phases.learn(words, {c for w, _ in listed for c in w}, limit, least, letters)
+        assert got == plain(listed, limit, least)
+        assert len(taken) > 1 and max(taken) <= letters
