@@ -1,12 +1,15 @@
 """What a table that grows must not do, and the same results where a step takes another way for large tables."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.config import CODE_PATTERN, TokenizerConfig
 from lodestone.functions import merging
+from lodestone.functions.text import repeats
 from lodestone.operators import phases, pretokenize
 from lodestone.operators.bpe import build, train
 
@@ -70,3 +73,16 @@ def test_merges_learned_in_phases(spark, sf_dir):
             got = phases.learn(words, {c for w, _ in listed for c in w}, limit, least, letters)
         assert got == plain(listed, limit, least)
         assert len(taken) > 1 and max(taken) <= letters
+
+
+def test_repetitions_are_found_as_the_pattern_finds_them_and_fast():
+    rng, pattern = random.Random(5), re.compile(r"(.{3,}?)\1+")
+    for _ in range(4000):
+        letters = rng.choice(["ab", "abc", "ab\n", "a\n", "abcd ", "a\U0001f600b"])
+        pieces = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 20))) for _ in range(rng.choice([1, 3, 40]))]
+        t = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12)))
+        assert repeats(t) == sum(1 for _ in pattern.finditer(t))
+    t = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400_000))
+    began = time.process_time()
+    repeats(t)
+    assert time.process_time() - began < 2
