@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.config import CODE_PATTERN, TokenizerConfig
 from lodestone.functions import merging
 from lodestone.functions.text import repeats
-from lodestone.operators import phases, pretokenize, quality
+from lodestone.operators import dedup, phases, pretokenize, quality
 from lodestone.operators.bpe import build, train
 
 CODE = TokenizerConfig(regex_pattern=CODE_PATTERN, vocab_size=0, min_frequency=1)
@@ -92,3 +92,8 @@ def test_a_judgement_splits_and_searches_a_text_once(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     own = plan(quality.judged(docs, "good").where("good").select("doc_id"))
     assert own.count("split(text") == 1 and own.count("regexp_extract_all(text") == 4
+
+
+def test_normal_forms_are_made_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert "md5(" not in plan(dedup.first_by_hash(docs))
