@@ -3,12 +3,15 @@
 import random
 import re
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.config import CODE_PATTERN, TokenizerConfig
 from lodestone.functions import merging
+from lodestone.functions import text as T
 from lodestone.functions.text import repeats
 from lodestone.operators import dedup, phases, pretokenize, quality
 from lodestone.operators.bpe import build, train
@@ -97,3 +100,15 @@ def test_a_judgement_splits_and_searches_a_text_once(spark, sf_dir):
 def test_normal_forms_are_made_once(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert "md5(" not in plan(dedup.first_by_hash(docs))
+
+
+def test_few_python_strings_are_held_at_once(spark):
+    column = T.arrow_text(lambda t: t + "!").func
+    texts = pa.array([None if k == 70 else f"{k}\U0001f600" + "x" * 10_000 for k in range(1000)])
+    tracemalloc.start()
+    got = column(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000
+    assert got.to_pylist() == [None if t is None else t + "!" for t in texts.to_pylist()]
+    assert column(texts.slice(0, 0)).to_pylist() == [] and column(texts.slice(0, 0)).type == pa.string()
