@@ -14,7 +14,7 @@ from lodestone.functions import merging
 from lodestone.functions import text as T
 from lodestone.functions.text import repeats
 from lodestone.operators import dedup, phases, pretokenize, quality
-from lodestone.operators.bpe import build, train
+from lodestone.operators.bpe import _encoder, build, train
 
 CODE = TokenizerConfig(regex_pattern=CODE_PATTERN, vocab_size=0, min_frequency=1)
 
@@ -112,3 +112,22 @@ def test_few_python_strings_are_held_at_once(spark):
     assert peak < 12_000_000
     assert got.to_pylist() == [None if t is None else t + "!" for t in texts.to_pylist()]
     assert column(texts.slice(0, 0)).to_pylist() == [] and column(texts.slice(0, 0)).type == pa.string()
+
+
+@pytest.mark.parametrize("mode", ["canonical", "compat"])
+def test_encoding_holds_little_more_than_the_ids_of_a_batch(mode):
+    config = TokenizerConfig(regex_pattern=CODE_PATTERN, vocab_size=9, min_frequency=1)
+    model = build([("ab", 5), ("abab", 3), ("c", 1)], config, mode)
+    words = ["ab", "abab", "bac", "?"] * 600_000
+    cuts = [0, 0, 1, 100_000, 524_287, 524_288, 524_289, 1_048_576, 1_048_576, 2_000_000, len(words)]
+    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(words), mask=pa.array([k == 7 for k in range(len(cuts) - 1)]))
+    code = _encoder(model)
+    tracemalloc.start()
+    got = code(lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * 4 * len(got.values)
+    for own, k in zip(got.slice(0, 9), range(9)):
+        assert own.as_py() == (None if k == 7 else [i for w in words[cuts[k] : cuts[k + 1]] for i in model.word_ids(w)])
+    assert len(got.values) == sum(len(model.word_ids(w)) for w in words[:4]) * 600_000
+    assert code(lists.slice(2, 3)).to_pylist() == got.slice(2, 3).to_pylist() and code(lists.slice(0, 0)).to_pylist() == []
