@@ -1,12 +1,18 @@
 """Byte-pair kernels against plain recounting."""
 
+import random
+import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestone.config import TokenizerConfig, numbered
 from lodestone.functions import merging
+from lodestone.operators import bpe
 from lodestone.operators.bpe import BpeModel, build, merge_models
 from lodestone.operators.pretokenize import captures
 
@@ -141,3 +147,43 @@ def test_unknown_characters_and_ids():
 def test_captures():
     assert captures("(a)b") and captures("(?<n>a)") and captures("(?P<n>a)")
     assert not any(map(captures, ("[(]a", "(?:a)", "(?<=a)b", r"\(a", "[]()]")))
+
+
+def test_words_split_together_are_split_as_one_by_one():
+    rng = random.Random(11)
+    for alphabet, texts, limit in (("ab", 40, 12), ("aab é\U0001f600", 60, 40), ("abcdefgh", 200, 150)):
+        words = ["".join(rng.choice(alphabet) for _ in range(rng.choice([1, 2, 3, 5, 9, 40]))) for _ in range(texts)]
+        pairs = merging.learn([(w, 1) for w in words], limit, 1)
+        # Ranks in any order too: a later merge may then make what an earlier one takes, or what another one makes.
+        for ranks in ({p: k for k, p in enumerate(pairs)}, {p: k for k, p in enumerate(rng.sample(pairs, len(pairs)))}, {}):
+            own = words + ["a" * 31, "zaz", "ab" * 3000]
+            symbols, sizes = (table := merging.Pairs(ranks, alphabet[1:])).split("".join(own), np.array([len(w) for w in own]))
+            names, ends = [*table.names, None], np.cumsum(sizes).tolist()
+            for w, end, n in zip(own, ends, sizes.tolist()):
+                want = merging.split_canonical(w, ranks)
+                assert [names[k] for k in symbols[end - n : end].tolist()] == [t if t in table.names else None for t in want]
+    assert [len(a) for a in merging.Pairs({}).split("", np.zeros(0, np.int64))] == [0, 0]
+
+
+@pytest.mark.parametrize("use_trie", [True, False])
+def test_encoding_at_once_is_encoding_by_word(use_trie):
+    config = TokenizerConfig(vocab_size=40, min_frequency=1, use_trie=use_trie)
+    model = build([("abab", 3), ("aab", 2), ("aaaa", 1), ("c", 1)], config)
+    words = ["abab", "", "a", "x", "axb", "aaaaa", "abcx", "<|unk|>", "ab"]
+    assert bpe._encoder(model)(pa.array([words])).to_pylist() == [[i for w in words for i in model.word_ids(w)]]
+    bare = BpeModel(config.with_(special_tokens={"<|pad|>": 9}), {"a": 0, "b": 1}, ())
+    with pytest.raises(ValueError, match="'x' isn't in the vocabulary"):
+        bpe._encoder(bare)(pa.array([["ab", "axb"]]))
+
+
+def test_encoding_many_different_words_is_fast():
+    rng = random.Random(2)
+    words = list({"".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(60_000)})
+    model = build([(w, 1) for w in words[:2000]], TokenizerConfig(vocab_size=400, min_frequency=1))
+    one, all_at_once = time.process_time(), bpe._encoder(model)
+    for w in words[:6000]:
+        model.word_ids(w)
+    one = time.process_time() - one
+    began = time.process_time()
+    all_at_once(pa.array([words]))
+    assert time.process_time() - began < 4 * one  # ten times as many words
