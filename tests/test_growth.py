@@ -131,3 +131,14 @@ def test_encoding_holds_little_more_than_the_ids_of_a_batch(mode):
         assert own.as_py() == (None if k == 7 else [i for w in words[cuts[k] : cuts[k + 1]] for i in model.word_ids(w)])
     assert len(got.values) == sum(len(model.word_ids(w)) for w in words[:4]) * 600_000
     assert code(lists.slice(2, 3)).to_pylist() == got.slice(2, 3).to_pylist() and code(lists.slice(0, 0)).to_pylist() == []
+
+
+def test_few_phases_are_enough_and_each_tries_few_thresholds(spark, sf_dir, monkeypatch):
+    words = pretokenize.word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), CODE).cache()
+    listed = [(r["word"], r["freq"]) for r in words.orderBy("first_doc", "first_pos").collect()]
+    letters = sum(len(w) for w, _ in listed) // 7
+    phase, cuts, learn, cut = [], [], merging.learn, phases._pieces
+    monkeypatch.setattr(merging, "learn", lambda *a: phase.append(1) or learn(*a))
+    monkeypatch.setattr(phases, "_pieces", lambda *a: cuts.append(1) or cut(*a))
+    assert phases.learn(words, {c for w, _ in listed for c in w}, 600, 2, letters) == learn(listed, 600, 2)
+    assert len(phase) <= 4 and len(cuts) <= len(phase) + 1
