@@ -9,11 +9,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.config import CODE_PATTERN, TokenizerConfig
+from lodestone.config import CODE_PATTERN, TokenizerConfig, chat_config
 from lodestone.functions import merging
 from lodestone.functions import text as T
 from lodestone.functions.text import repeats
-from lodestone.operators import dedup, phases, pretokenize, quality
+from lodestone.operators import conversation, dedup, phases, pretokenize, quality
 from lodestone.operators.bpe import _encoder, build, train
 
 CODE = TokenizerConfig(regex_pattern=CODE_PATTERN, vocab_size=0, min_frequency=1)
@@ -142,3 +142,16 @@ def test_few_phases_are_enough_and_each_tries_few_thresholds(spark, sf_dir, monk
     monkeypatch.setattr(phases, "_pieces", lambda *a: cuts.append(1) or cut(*a))
     assert phases.learn(words, {c for w, _ in listed for c in w}, 600, 2, letters) == learn(listed, 600, 2)
     assert len(phase) <= 4 and len(cuts) <= len(phase) + 1
+
+
+def test_conversations_are_brought_together_as_texts(spark):
+    rows = [(1, 1, "user", "b a"), (1, 1, "user", "a"), (1, 0, "bot", None), (2, 0, None, ""), (2, 1, "assistant", "cab ab")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    model = build([("ab", 3), ("c", 1)], chat_config(40).with_(regex_pattern=CODE_PATTERN, min_frequency=1))
+    coded = conversation.encode_conversations(turns, model)
+    assert "ArrowEvalPython" in (made := plan(coded)) and made.rindex("array<array<int>>" if "array<array<int>>" in made else "each(") < made.index("collect_list")
+    ids = {t: i for t, i in model.vocab.items()}
+    own = lambda r, text: [ids[f"<|{r}|>"], *model.encode_text(text), ids["<|turn|>"]]
+    start = [ids["<|startoftext|>"]]
+    want = {1: start + own("bot", "") + sum(sorted([own("user", "b a"), own("user", "a")]), []), 2: start + own("user", "") + own("assistant", "cab ab")}
+    assert {r["conv_id"]: r["ids"] for r in coded.collect()} == want
