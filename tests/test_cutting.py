@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import CODE_PATTERN, TokenizerConfig
 from lodestone.functions import cutting
-from lodestone.operators import pretokenize
+from lodestone.operators import bpe, pretokenize
 from lodestone.operators.bpe import build
 from lodestone.sources import writers
 
@@ -88,3 +88,17 @@ def test_ids_are_joined(spark, monkeypatch):
     assert [r[0] for r in df.orderBy("k").select(writers.as_ids(F.col("ids"))).collect()] == want
     assert writers._joined(pa.array([], pa.list_(pa.int32()))).to_pylist() == []
     assert writers._joined(pa.array(rows, pa.list_(pa.int64())).slice(1, 4)).to_pylist() == want[1:5]
+
+
+def test_a_batch_is_cut_and_encoded_in_parts(monkeypatch):
+    rng = random.Random(8)
+    texts = [None if k % 9 == 4 else " ".join(rng.choice(["ab", "abc", "1.5", "é", "x"]) for _ in range(rng.randrange(6))) for k in range(60)]
+    given = pa.array([["ab", "x"] if k == 30 else None for k in range(60)], pa.list_(pa.string()))
+    model, cut, most = build([("ab", 5), ("abc", 3), ("1.5", 2), ("x", 1), (" ", 9)], CODE), cutting.cut_all, []
+    monkeypatch.setattr(cutting, "cut_all", lambda t, w: most.append(len(t)) or cut(t, w))
+    monkeypatch.setattr(bpe, "BYTES", 40)
+    flat, ends = cut(pa.array(texts), given)
+    words = [flat.to_pylist()[i:j] for i, j in zip(ends, ends[1:])]
+    got = bpe._text_encoder(model)(pa.array(texts), given).to_pylist()
+    assert got == [None if t is None else [i for w in ws for i in model.word_ids(w)] for t, ws in zip(texts, words)]
+    assert len(most) > 10 and max(most) < 40
